@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import blank_to_null, clean_text, strip_chars, title_case
+from unitlens.functions.text import blank_to_null, clean_text, lookup_table, strip_chars, title_case
 
 PARTS_TYPE = (
     "struct<number:string,directional:string,street:string,suffix:string,post_directional:string,"
@@ -20,23 +20,19 @@ PARTS_TYPE = (
 )
 
 
-def _lookup(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def _text(c: Column) -> Column:
     return F.coalesce(clean_text(c), F.lit(""))
 
 
 def normalize_city(c: Column) -> Column:
     text = strip_chars(_text(c), " ,.")
-    return F.coalesce(F.try_element_at(_lookup(fv.CITY_ALIASES), F.lower(text)), title_case(text))
+    return F.coalesce(F.try_element_at(lookup_table(fv.CITY_ALIASES), F.lower(text)), title_case(text))
 
 
 def normalize_state(c: Column) -> Column:
     text = strip_chars(_text(c), " ,.")
     return F.coalesce(
-        F.try_element_at(_lookup(fv.STATE_ALIASES), F.lower(text)), F.substring(F.upper(text), 1, 2)
+        F.try_element_at(lookup_table(fv.STATE_ALIASES), F.lower(text)), F.substring(F.upper(text), 1, 2)
     )
 
 
@@ -123,7 +119,7 @@ def standardize_addresses(
         .otherwise(F.btrim(a["line"])),
     })
 
-    ordinals, dirs, suffixes = (_lookup(t) for t in (fv.ORDINAL_WORDS, fv.DIRECTIONALS, fv.STREET_SUFFIXES))
+    ordinals, dirs, suffixes = (lookup_table(t) for t in (fv.ORDINAL_WORDS, fv.DIRECTIONALS, fv.STREET_SUFFIXES))
 
     def word(t: Column) -> Column:
         bare = strip_chars(t, ".,")

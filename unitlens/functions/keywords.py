@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import match_form, phrase_pattern
+from unitlens.functions.text import match_form, phrase_pattern, sql_text
 
 SCAN_TYPE = "struct<hits:array<string>,negated:array<string>>"
 
@@ -15,27 +15,24 @@ _BEFORE = rf"(?:^| )[.,]*(?:{'|'.join(fv.NEGATORS_BEFORE)})[.,]*(?= |$)"
 _AFTER = phrase_pattern(*fv.NEGATORS_AFTER)
 
 
-def _occurrence_state(blob: Column, pattern: str) -> Column:
+def _occurrence_state(blob: str, pattern: str) -> Column:
     """_HIT if some occurrence stands without a negation next to it, _NEGATED if all have one.
 
-    The pieces between occurrences and the occurrences themselves give each one's place in the text; the words
-    around it are then cut out by counting spaces, as the match form has single ones only.
+    Zipping the pieces between occurrences with the occurrences gives each one's place in the text in one fold;
+    the words around it are then cut out by counting spaces, as the match form has single ones only.
     """
-    pieces = F.split(blob, F.lit(pattern), -1)
-    found = F.regexp_extract_all(blob, F.lit(pattern), 0)
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["pos"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(found, i))
-        before = F.substring_index(F.rtrim(F.left(blob, start)), " ", -fv.NEGATION_WINDOW)
-        rest = F.ltrim(F.substring(blob, end + 1, F.length(blob)), F.lit(" .,-:;"))
-        after = F.substring_index(rest, " ", fv.NEGATION_WINDOW)
-        negated = before.rlike(_BEFORE) | after.rlike(_AFTER)
-        return F.struct(end.alias("pos"), (acc["all"] & negated).alias("all"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit(True).alias("all"))
-    all_negated = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["all"]
-    return F.when(all_negated, F.lit(_NEGATED)).otherwise(F.lit(_HIT))
+    p, n = sql_text(pattern), fv.NEGATION_WINDOW
+    start = "acc.pos + length(e.`0`)"
+    end = f"{start} + length(e.`1`)"
+    before = f"substring_index(rtrim(left({blob}, {start})), ' ', -{n})"
+    after = f"substring_index(trim(LEADING ' .,-:;' FROM substring({blob}, {end} + 1)), ' ', {n})"
+    negated = f"({before} rlike {sql_text(_BEFORE)} or {after} rlike {sql_text(_AFTER)})"
+    return F.expr(f"""
+        if(aggregate(
+            arrays_zip(split({blob}, {p}, -1), regexp_extract_all({blob}, {p}, 0)),
+            named_struct('pos', 0, 'negated', true),
+            (acc, e) -> if(e.`1` is null, acc, named_struct('pos', {end}, 'negated', acc.negated and {negated}))
+        ).negated, {_NEGATED}, {_HIT})""")
 
 
 def scan_keywords(df: DataFrame, text: str, keywords, out: str = "keyword_scan", normalized: bool = False) -> DataFrame:
@@ -49,7 +46,7 @@ def scan_keywords(df: DataFrame, text: str, keywords, out: str = "keyword_scan",
         patterns.setdefault(phrase_pattern(keyword), []).append(i)
     blob = F.col("__scan_blob")
     none = F.lit(0)
-    per_pattern = [F.when(blob.rlike(p), _occurrence_state(blob, p)).otherwise(none) for p in patterns]
+    per_pattern = [F.when(blob.rlike(p), _occurrence_state("__scan_blob", p)).otherwise(none) for p in patterns]
     slot = {i: n for n, members in enumerate(patterns.values()) for i in members}
     staged = df.withColumn("__scan_blob", F.col(text) if normalized else match_form(F.col(text)))
     staged = staged.withColumn(

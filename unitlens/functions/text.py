@@ -20,10 +20,25 @@ _NON_ASCII = r"[^\x00-\x7F]"
 _SPACES = r"[\s\x1c-\x1f\x85\u1680\u2028\u2029]+"
 
 
+def sql_text(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup_table(table: dict) -> Column:
+    """A literal map column, parsed in one go."""
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items()) + ")")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def bind(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 
@@ -86,57 +101,54 @@ def truncate(c: Column, limit: int = 280) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def _first(c: Column, pattern: str) -> Column:
-    return blank_to_null(F.regexp_extract(c, pattern, 1))
-
-
-def _number(c: Column) -> Column:
-    return F.regexp_replace(c, ",", "").try_cast("double")
+def _number(c: Column, pattern: str) -> Column:
+    """The first number the pattern finds; NULL if it finds none."""
+    return F.regexp_replace(F.regexp_extract(c, pattern, 1), ",", "").try_cast("double")
 
 
 def price_from_number(n: Column) -> Column:
-    return F.when(n > 0, F.bround(n).try_cast("int"))
+    return bind(n, lambda x: F.when(x > 0, F.bround(x).try_cast("int")))
 
 
 def price_from_text(c: Column) -> Column:
-    return price_from_number(_number(_first(clean_text(c), fv.PRICE_PATTERN)))
+    return price_from_number(_number(clean_text(c), fv.PRICE_PATTERN))
+
+
+def beds_from_number(n: Column) -> Column:
+    return bind(n, lambda x: F.when(x >= 0, x))
 
 
 def beds_from_text(c: Column) -> Column:
-    text = F.lower(clean_text(c))
-    words = F.create_map(*[F.lit(x) for k, v in fv.WORD_NUMBERS.items() if v <= 6 for x in (k, float(v))])
-    return F.when(F.contains(text, F.lit("studio")), F.lit(0.0)).otherwise(
-        F.coalesce(
-            _first(text, fv.NUMBER_PATTERN).try_cast("double"),
-            F.try_element_at(words, F.regexp_extract(text, fv.BED_WORD_PATTERN, 1)),
-        )
-    )
+    words = F.expr("map(" + ", ".join(f"'{k}', {v}D" for k, v in fv.WORD_NUMBERS.items() if v <= 6) + ")")
+    return bind(F.lower(clean_text(c)), lambda t: F.when(F.contains(t, F.lit("studio")), F.lit(0.0)).otherwise(
+        F.coalesce(_number(t, fv.NUMBER_PATTERN), F.try_element_at(words, F.regexp_extract(t, fv.BED_WORD_PATTERN, 1)))))
 
 
 def baths_from_text(c: Column) -> Column:
-    text = F.lower(clean_text(c))
-    full = F.coalesce(_first(text, fv.NUMBER_PATTERN).try_cast("double"), F.lit(0.0))
-    half = F.coalesce(_first(text, fv.HALF_BATH_PATTERN).try_cast("double"), F.lit(0.0))
-    total = full + half * 0.5
-    return F.when(total != 0, total)
+    def total(t: Column) -> Column:
+        full = F.coalesce(_number(t, fv.NUMBER_PATTERN), F.lit(0.0))
+        half = F.coalesce(_number(t, fv.HALF_BATH_PATTERN), F.lit(0.0))
+        return full + half * 0.5
+
+    return bind(bind(F.lower(clean_text(c)), total), lambda x: F.when(x != 0, x))
 
 
 def sqft_from_number(n: Column) -> Column:
-    return F.when(n.between(*fv.SQFT_RANGE), F.bround(n).try_cast("int"))
+    return bind(n, lambda x: F.when(x.between(*fv.SQFT_RANGE), F.bround(x).try_cast("int")))
 
 
 def sqft_from_text(c: Column) -> Column:
     text = F.regexp_replace(F.lower(clean_text(c)), ",", "")
-    return sqft_from_number(_first(text, fv.NUMBER_PATTERN).try_cast("double"))
+    return sqft_from_number(_number(text, fv.NUMBER_PATTERN))
 
 
 def year_from_text(c: Column) -> Column:
-    year = _first(c, fv.YEAR_PATTERN).try_cast("int")
-    return F.when(year.between(*fv.YEAR_RANGE), year)
+    year = F.regexp_extract(c, fv.YEAR_PATTERN, 1).try_cast("int")
+    return bind(year, lambda y: F.when(y.between(*fv.YEAR_RANGE), y))
 
 
 def stat_from_text(c: Column, pattern: str) -> Column:
-    return _number(_first(c, pattern))
+    return _number(c, pattern)
 
 
 def plain_number(c: Column) -> Column:
