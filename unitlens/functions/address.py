@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import blank_to_null, clean_text, lookup_table, strip_chars, title_case
+from unitlens.functions.text import bind, blank_to_null, clean_text, lookup_table, settle, strip_chars, title_case
 
 PARTS_TYPE = (
     "struct<number:string,directional:string,street:string,suffix:string,post_directional:string,"
@@ -25,15 +25,15 @@ def _text(c: Column) -> Column:
 
 
 def normalize_city(c: Column) -> Column:
+    aliases = lookup_table(fv.CITY_ALIASES)
     text = strip_chars(_text(c), " ,.")
-    return F.coalesce(F.try_element_at(lookup_table(fv.CITY_ALIASES), F.lower(text)), title_case(text))
+    return bind(text, lambda t: F.coalesce(F.try_element_at(aliases, F.lower(t)), title_case(t)))
 
 
 def normalize_state(c: Column) -> Column:
+    aliases = lookup_table(fv.STATE_ALIASES)
     text = strip_chars(_text(c), " ,.")
-    return F.coalesce(
-        F.try_element_at(lookup_table(fv.STATE_ALIASES), F.lower(text)), F.substring(F.upper(text), 1, 2)
-    )
+    return bind(text, lambda t: F.coalesce(F.try_element_at(aliases, F.lower(t)), F.substring(F.upper(t), 1, 2)))
 
 
 def normalize_zip(c: Column) -> Column:
@@ -60,7 +60,7 @@ def _peel(segment: Column) -> Column:
 
 
 def _or_else(given: Column, parsed: Column) -> Column:
-    return F.coalesce(blank_to_null(given), parsed, F.lit(""))
+    return bind(given, lambda g: F.when(g != "", g).otherwise(F.coalesce(parsed, F.lit(""))))
 
 
 _HASH_UNIT = rf"#\s*{fv.UNIT_VALUE_PATTERN}\s*$"
@@ -166,7 +166,7 @@ def standardize_addresses(
         F.array_join(a["t4"], " ").alias("street"), a["suffix"].alias("suffix"), a["post"].alias("post_directional"),
         a["unit"].alias("unit"), a["city"].alias("city"), a["state"].alias("state"), a["zip"].alias("zip5"),
     )
-    return staged.withColumn(out, parts).drop(*[f"__a_{n}" for n in a])
+    return settle(staged.withColumn(out, parts).drop(*[f"__a_{n}" for n in a]), out)
 
 
 def is_usable(parts: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
+from unitlens.functions.text import settle
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -65,7 +66,7 @@ def measure_distance(df: DataFrame, lat: str = "latitude", lon: str = "longitude
     points = df.withColumns({
         "__lat": F.col(lat).cast("string").try_cast("double"), "__lon": F.col(lon).cast("string").try_cast("double"),
     }) if dict(df.dtypes)[lat] == "string" else df.withColumns({"__lat": F.col(lat), "__lon": F.col(lon)})
-    out = points.withColumn("miles", miles_to_line(F.col("__lat"), F.col("__lon"), line))
+    out = settle(points.withColumn("miles", miles_to_line(F.col("__lat"), F.col("__lon"), line)), "miles")
     return out.withColumns({
         "is_near": is_near(F.col("miles")), "within_box": in_box(F.col("__lat"), F.col("__lon"), box),
     }).drop("__lat", "__lon")

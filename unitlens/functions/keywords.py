@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import match_form, phrase_pattern, sql_text
+from unitlens.functions.text import match_form, phrase_pattern, settle, sql_text
 
 SCAN_TYPE = "struct<hits:array<string>,negated:array<string>>"
 
@@ -60,7 +60,7 @@ def scan_keywords(df: DataFrame, text: str, keywords, out: str = "keyword_scan",
         return F.when(states.isNotNull(), F.array_compact(F.array(*cases))).otherwise(empty)
 
     scan = F.struct(named(_HIT).alias("hits"), named(_NEGATED).alias("negated"))
-    return staged.withColumn(out, scan).drop("__scan_blob", "__scan_states")
+    return settle(staged.withColumn(out, scan).drop("__scan_blob", "__scan_states"), out)
 
 
 def find_phrases(blob: Column, phrases) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import blank_to_null, clean_text, match_form
+from unitlens.functions.text import clean_text, match_form, settle, sql_text
 
 _DIGITS = r"(\d{1,2})"
 _LAST_DIGITS = r"(\d{1,2})\s*(?:\+)?\s*(?:mo|mos|month|months)$"
@@ -25,40 +25,24 @@ def digits_for_words(c: Column) -> Column:
     return F.when(c.rlike(rf"(?<![a-z0-9])(?:{any_word})(?![a-z0-9])"), out).otherwise(c)
 
 
-def _int(text: Column, pattern: str) -> Column:
-    return blank_to_null(F.regexp_extract(text, pattern, 1)).try_cast("int")
+def _found(blob: str, patterns, label: str, low: str, high: str, allowed: str) -> Column:
+    """First pattern whose first match holds an allowed value. Each pattern runs once; ``low`` and ``high`` are
+    read off the short text ``h`` it matched."""
+    hits = "array(" + ", ".join(f"regexp_extract({blob}, {sql_text(p)}, 0)" for p in patterns) + ")"
+    window = f"named_struct('lo', {low}, 'hi', {high}, 'ev', concat('{label}:', trim(h)))"
+    return F.expr(f"get(filter(transform({hits}, h -> {window}), w -> {allowed}), 0)")
 
 
-def _window(low: Column, high: Column, label: str, found: Column) -> Column:
-    return F.struct(
-        low.cast("int").alias("lo"), high.cast("int").alias("hi"),
-        F.concat(F.lit(f"{label}:"), F.btrim(found)).alias("ev"),
-    )
-
-
-def _found(blob: Column, patterns, label: str, build) -> Column:
-    """First pattern whose first match holds an allowed value."""
-    cases = []
-    for pattern in patterns:
-        hit = blank_to_null(F.regexp_extract(blob, pattern, 0))
-        low, high, ok = build(hit)
-        cases.append(F.when(ok, _window(low, high, label, hit)))
-    return F.coalesce(*cases)
-
+_FIRST_INT = f"try_cast(regexp_extract(h, {sql_text(_DIGITS)}, 1) as int)"
+_LAST_INT = f"try_cast(regexp_extract(h, {sql_text(_LAST_DIGITS)}, 1) as int)"
+_IN_MONTHS = f"w.lo between 1 and {fv.LEASE_MAX_MONTHS}"
+_RANGE = ("range", _FIRST_INT, _LAST_INT, f"w.lo > 0 and w.lo <= w.hi and w.hi <= {fv.LEASE_MAX_MONTHS}")
+_YEARS = ("years", f"{_FIRST_INT} * 12", f"{_FIRST_INT} * 12", f"w.lo between 12 and {12 * fv.LEASE_MAX_YEARS}")
+_PHRASE = "named_struct('lo', 12, 'hi', 12, 'ev', concat('phrase:', p))"
 
-def _single(hit: Column):
-    value = _int(hit, _DIGITS)
-    return value, value, value.between(1, fv.LEASE_MAX_MONTHS)
 
-
-def _range(hit: Column):
-    low, high = _int(hit, _DIGITS), _int(hit, _LAST_DIGITS)
-    return low, high, (low > 0) & (low <= high) & (high <= fv.LEASE_MAX_MONTHS)
-
-
-def _years(hit: Column):
-    years = _int(hit, _DIGITS)
-    return years * 12, years * 12, years.between(1, fv.LEASE_MAX_YEARS)
+def _single(label: str):
+    return (label, _FIRST_INT, _FIRST_INT, _IN_MONTHS)
 
 
 def extract_lease_terms(df: DataFrame, *columns: str, out: str = "lease_term") -> DataFrame:
@@ -72,23 +56,21 @@ def extract_lease_terms(df: DataFrame, *columns: str, out: str = "lease_term") -
     staged = df.withColumn("__lease_blob", match_form(F.concat_ws(" . ", *texts))).withColumn(
         "__lease_blob", digits_for_words(blob)
     )
-    staged = staged.withColumn("__lease_range", _found(blob, fv.LEASE_RANGE_PATTERNS, "range", _range))
+    staged = staged.withColumn("__lease_range", _found("__lease_blob", fv.LEASE_RANGE_PATTERNS, *_RANGE))
     no_range = F.col("__lease_range").isNull()
     staged = staged.withColumns({
-        "__lease_min": F.when(no_range, _found(blob, fv.LEASE_MIN_PATTERNS, "min", _single)),
-        "__lease_max": F.when(no_range, _found(blob, fv.LEASE_MAX_PATTERNS, "max", _single)),
+        "__lease_min": F.when(no_range, _found("__lease_blob", fv.LEASE_MIN_PATTERNS, *_single("min"))),
+        "__lease_max": F.when(no_range, _found("__lease_blob", fv.LEASE_MAX_PATTERNS, *_single("max"))),
     })
     open_row = no_range & F.col("__lease_min").isNull() & F.col("__lease_max").isNull()
-    phrases = F.coalesce(*[
-        F.when(F.contains(blob, F.lit(p)), _window(F.lit(12), F.lit(12), "phrase", F.lit(p)))
-        for p in fv.ANNUAL_PHRASES
-    ])
+    phrases = "array(" + ", ".join(sql_text(p) for p in fv.ANNUAL_PHRASES) + ")"
+    said = F.expr(f"get(transform(filter({phrases}, p -> contains(__lease_blob, p)), p -> {_PHRASE}), 0)")
     staged = staged.withColumn(
         "__lease_other",
         F.when(open_row, F.coalesce(
-            _found(blob, fv.LEASE_YEAR_PATTERNS, "years", _years),
-            _found(blob, fv.LEASE_EXACT_PATTERNS, "exact", _single),
-            phrases,
+            _found("__lease_blob", fv.LEASE_YEAR_PATTERNS, *_YEARS),
+            _found("__lease_blob", fv.LEASE_EXACT_PATTERNS, *_single("exact")),
+            said,
         )),
     )
     parts = [F.col(f"__lease_{p}") for p in ("range", "min", "max", "other")]
@@ -99,9 +81,9 @@ def extract_lease_terms(df: DataFrame, *columns: str, out: str = "lease_term") -
         F.substring(blob, 1, 500).alias("raw"),
         F.array_compact(F.array(*[p["ev"] for p in parts])).alias("evidence"),
     )
-    return staged.withColumn(out, term).drop(
+    return settle(staged.withColumn(out, term).drop(
         "__lease_blob", "__lease_range", "__lease_min", "__lease_max", "__lease_other"
-    )
+    ), out)
 
 
 def lease_known(term: Column) -> Column:

@@ -39,6 +39,16 @@ def bind(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Pass the named columns through a one-row generator.
+
+    Filters and join keys above are not pushed below it, so a condition on a derived column reads the column
+    and does not derive it again at the scan. Conditions on the other columns still go down to the source.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 

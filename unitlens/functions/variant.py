@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import sql_text
+from unitlens.functions.text import bind, sql_text
 
 _STEP = re.compile(r"([^.\[\]]*)(?:\[(\d+)\])?$")
 _NODES = "cast(array() as array<struct<d:int,p:array<int>,k:string,v:variant>>)"
@@ -41,19 +41,19 @@ def members_of(node: str) -> str:
     return f"try_variant_get({node}, '$', 'map<string,variant>')"
 
 
+def _bound(value: str, then: str) -> str:
+    """SQL for ``then`` over the lambda variable v, with the value worked out once."""
+    return f"get(transform(array({value}), v -> {then}), 0)"
+
+
 def scalar_text(doc: str, path: str) -> str:
     """SQL for a scalar at ``path`` as text; objects, arrays and blanks count as not said."""
-    text = f"nullif(trim({dig(doc, path, 'string')}), '')"
-    return f"if(schema_of_variant({dig(doc, path)}) rlike '^(OBJECT|ARRAY)', null, {text})"
+    text = _bound("trim(try_variant_get(v, '$', 'string'))", "if(v <> '', v, null)")
+    return _bound(dig(doc, path), f"if(schema_of_variant(v) rlike '^(OBJECT|ARRAY|VOID)', null, {text})")
 
 
 def string_only(doc: str, path: str) -> str:
-    return f"if(schema_of_variant({dig(doc, path)}) = 'STRING', {dig(doc, path, 'string')}, null)"
-
-
-def number_only(doc: str, path: str) -> str:
-    kinds = "'^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)'"
-    return f"if(schema_of_variant({dig(doc, path)}) rlike {kinds}, {dig(doc, path, 'double')}, null)"
+    return _bound(dig(doc, path), "if(schema_of_variant(v) = 'STRING', try_variant_get(v, '$', 'string'), null)")
 
 
 def first_text(doc: str, paths) -> Column:
@@ -63,9 +63,12 @@ def first_text(doc: str, paths) -> Column:
 
 def first_parsed(doc: str, paths, from_text, from_number) -> Column:
     """First candidate that survives its parser; a failed parse falls through to the next path."""
-    cases = []
-    for p in paths:
-        cases += [from_number(F.expr(number_only(doc, p))), from_text(F.expr(string_only(doc, p)))]
+    def parsed(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(kind == "STRING", from_text(F.try_variant_get(v, "$", "string"))).when(
+            kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"), from_number(F.try_variant_get(v, "$", "double")))
+
+    cases = [bind(F.expr(dig(doc, p)), parsed) for p in paths]
     return F.coalesce(*cases) if cases else F.lit(None).cast("double")
 
 

@@ -207,7 +207,7 @@ def evaluate(df: DataFrame, criteria: SearchCriteria | None = None) -> DataFrame
         return F.array_compact(F.array(*[m.cast("string") for pair in checks for m in pair[which]]))
 
     staged = staged.withColumns({"failures": flat(0), "warnings": flat(1)})
-    staged = staged.withColumn("passed", F.size("failures") == 0)
+    staged = tx.settle(staged, "amenity_matches", "failures", "warnings").withColumn("passed", F.size("failures") == 0)
     return staged.withColumns({
         "score": F.when(F.col("passed"), score_column(c)).otherwise(0.0), "reason": reason(),
     }).drop("__blob")

@@ -19,7 +19,8 @@ from unitlens.sources import field_maps as fm
 from unitlens.sources import landed, mapping
 from unitlens.schema import conform
 
-_UNIT_NO = (F.col("address_parts.number").cast("bigint") - 100).alias("unit_no")
+def _unit_no():
+    return (F.col("address_parts.number").cast("bigint") - 100).alias("unit_no")
 
 
 def _identified(spark, d) -> DataFrame:
@@ -32,16 +33,16 @@ def best_units(spark: SparkSession, d: str) -> DataFrame:
     """Parse, resolve, judge by size, price and place, rank: the flagship."""
     units = merge.merge_units(_identified(spark, d), order_by=v.LINE_ORDER, lists=False)
     units = units.withColumn("amenities", F.array().cast("array<string>"))
-    judged = verdicts.evaluate(derive.derive(units))
+    judged = verdicts.evaluate(derive.derive(units), SearchCriteria(min_price=500, max_price=2500))
     ranked = judged.withColumns({"matched": F.col("passed"), "is_active": F.lit(True), "match_score": F.col("score"),
                                  "last_seen_at": F.col("n_sightings")})
-    return stats.top_matches(ranked, 50).select(_UNIT_NO, "unit", "city", "price", "n_sightings", "score", "reason")
+    return stats.top_matches(ranked, 50).select(_unit_no(), "unit", "city", "price", "n_sightings", "score", "reason")
 
 
 def resolve_units(spark, d):
     units = merge.merge_units(_identified(spark, d), order_by=v.LINE_ORDER, lists=False)
     units = derive.derive_identity(units)
-    return units.select(_UNIT_NO, "unit", "city", "zip_code", "price", "n_sightings", F.size("sources").alias("n_sources"))
+    return units.select(_unit_no(), "unit", "city", "zip_code", "price", "n_sightings", F.size("sources").alias("n_sources"))
 
 
 def address_components(spark, d):
@@ -50,11 +51,11 @@ def address_components(spark, d):
 
 
 def multi_source_units(spark, d):
-    return stats.multi_source_units(_identified(spark, d).withColumn("unit_no", _UNIT_NO), "unit_no")
+    return stats.multi_source_units(_identified(spark, d).withColumn("unit_no", _unit_no()), "unit_no")
 
 
 def first_wins_merge(spark, d):
-    units = merge.merge_units(_identified(spark, d).withColumn("unit_no", _UNIT_NO), "unit_no", v.LINE_ORDER)
+    units = merge.merge_units(_identified(spark, d).withColumn("unit_no", _unit_no()), "unit_no", v.LINE_ORDER)
     return units.select(
         "unit_no", "source", "source_id", "url", "broker", "status", "beds", "baths", "sqft", "year_built",
         "days_on_market", "latitude", "price", F.array_join("photos", ",").alias("photos"),
@@ -62,13 +63,13 @@ def first_wins_merge(spark, d):
 
 
 def contributing_sightings(spark, d):
-    rows = merge.contributing_sightings(_identified(spark, d).withColumn("unit_no", _UNIT_NO), "unit_no", v.LINE_ORDER)
+    rows = merge.contributing_sightings(_identified(spark, d).withColumn("unit_no", _unit_no()), "unit_no", v.LINE_ORDER)
     return rows.groupBy("unit_no", "source").agg(F.count("*").alias("n"))
 
 
 def dedupe_within_source(spark, d):
     rows = merge.dedupe_within_source(_identified(spark, d), v.LINE_ORDER)
-    return derive.derive_identity(rows).select(_UNIT_NO, "source", "price")
+    return derive.derive_identity(rows).select(_unit_no(), "source", "price")
 
 
 def resolve_priority(spark, d):
@@ -214,7 +215,7 @@ def _verified(spark, d) -> DataFrame:
 
 def register_validate(spark, d):
     return _verified(spark, d).select(
-        _UNIT_NO, "source_id", "sqft", "year_built", "beds", "baths", "county_folio", "county_conflict", "reg_match")
+        _unit_no(), "source_id", "sqft", "year_built", "beds", "baths", "county_folio", "county_conflict", "reg_match")
 
 
 def register_contains_join(spark, d):

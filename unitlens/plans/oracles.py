@@ -123,7 +123,7 @@ said AS (SELECT *, list_filter([
     CASE WHEN year_built < 2005 AND NOT renovated THEN 'building: built ' || year_built || ' < 2005 and no renovation stated'
          WHEN NOT prose THEN NULL
          WHEN NOT sees_ocean THEN 'building: missing required amenity/amenities ocean view' END
-  ], x -> x IS NOT NULL) AS failures,
+  ], lambda x: x IS NOT NULL) AS failures,
   list_filter([
     CASE WHEN state <> 'GA' AND off_list AND zip_ok THEN 'location: city ''' || city || ''' not whitelisted but ZIP 33140 is' END,
     CASE WHEN state <> 'GA' AND NOT (off_list AND NOT zip_ok) AND miles IS NULL THEN 'location: ocean distance unverified (no coordinates)' END,
@@ -136,7 +136,7 @@ said AS (SELECT *, list_filter([
     CASE WHEN year_built IS NULL THEN 'building: year built unknown (pending county lookup)'
          WHEN year_built < 2005 AND renovated THEN 'building: built ' || year_built || ' but described as renovated' END,
     CASE WHEN NOT prose AND NOT coalesce(year_built < 2005, false) THEN 'building: source published no description -- ocean view unverified' END
-  ], x -> x IS NOT NULL) AS warnings FROM placed),
+  ], lambda x: x IS NOT NULL) AS warnings FROM placed),
 judged AS (SELECT *, len(failures) = 0 AS passed,
     CASE WHEN len(failures) = 0 THEN floor(least(
         CASE WHEN miles IS NOT NULL THEN (1.0::DOUBLE - least(miles / 0.6::DOUBLE, 1.0::DOUBLE)) * 30 ELSE 10 END
