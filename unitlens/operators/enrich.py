@@ -46,17 +46,17 @@ def match_register(units: DataFrame, register: DataFrame, street: str = "street_
     rows = register.select("street_key", record.alias("rec"), ad.normalize_unit(F.col("unit")).alias("u"), last_word.alias("w"))
     exact = rows.where("u <> ''").select("street_key", F.col("u").alias("probe"), F.lit(0).alias("rank"), "rec")
     held = rows.where("w <> ''").select("street_key", F.explode(_substrings(F.col("w"))).alias("probe"), F.lit(1).alias("rank"), "rec")
-    by_unit = exact.unionByName(held).groupBy("street_key", "probe").agg(F.min(F.struct("rank", "rec")).alias("hit"))
-    by_street = rows.groupBy("street_key").agg(F.min("rec").alias("first"))
+    by_unit = exact.unionByName(held).groupBy(F.col("street_key").alias("__s1"), F.col("probe").alias("__p1")).agg(
+        F.min(F.struct("rank", "rec")).alias("hit"))
+    by_street = rows.groupBy(F.col("street_key").alias("__s2")).agg(F.min("rec").alias("first"))
     u = units.withColumns({"__street": F.nullif(F.col(street), F.lit("")), "__unit": ad.normalize_unit(F.col(unit))})
-    u = u.join(by_unit, (F.col("__street") == by_unit["street_key"]) & (F.col("__unit") == F.col("probe")), "left")
-    u = u.drop(by_unit["street_key"], "probe")
-    u = u.join(by_street, F.col("__street") == by_street["street_key"], "left").drop(by_street["street_key"])
+    u = u.join(by_unit, (F.col("__street") == F.col("__s1")) & (F.col("__unit") == F.col("__p1")), "left")
+    u = u.join(by_street, F.col("__street") == F.col("__s2"), "left")
     return u.withColumns({
         "reg": F.coalesce(F.col("hit.rec"), F.col("first")),
         "reg_match": F.when(F.col("hit").isNotNull(), F.when(F.col("hit.rank") == 0, "unit").otherwise("address"))
         .when(F.col("first").isNotNull(), "street"),
-    }).drop("hit", "first", "__street", "__unit")
+    }).drop("hit", "first", "__street", "__unit", "__s1", "__p1", "__s2")
 
 
 def street_candidates(streets: DataFrame, parcels: DataFrame, street: str = "street_key") -> DataFrame:

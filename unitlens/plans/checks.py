@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +16,12 @@ from unitlens.functions.keywords import scan_keywords, tag_categories
 from unitlens.functions.lease import extract_lease_terms
 from unitlens import fixed_values as fv
 from unitlens.operators import alerts, derive, enrich, merge, resolve, state, stats, verdicts
-from unitlens.operators.sinks import export_rows
+from unitlens.operators.sinks import Store, export_rows, shared_folder
 from unitlens.plans import driver_views as v
+from unitlens.plans.run_pass import PassSettings, run_pass
 from unitlens.sources import field_maps as fm
 from unitlens.sources import landed, mapping
+from unitlens.streaming import changes
 from unitlens.schema import conform
 
 def _unit_no():
@@ -502,3 +507,55 @@ QUERIES = {
     "truncation_notes": truncation_notes, "source_health": source_health, "embedded_state": embedded_state,
     "feed_titles": feed_titles, "card_fields": card_fields, "detail_overlay": detail_overlay,
 }
+
+
+# --- streams -----------------------------------------------------------------------------------------------
+
+def _unit_stream(spark, d) -> DataFrame:
+    schema = v.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return events.select(
+        F.col("user_id").alias("unit_key"), F.concat_ws(":", "event_type", "event_id").alias("source_key"),
+        F.col("ts").cast("timestamp").alias("ts"), F.expr("if(event_id % 13 = 0, null, cast(floor(value * 100) as int))").alias("price"))
+
+
+def _streamed(spark, d) -> DataFrame:
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = changes.unit_events(_unit_stream(spark, d), inactive_hours=8)
+    return changes.run_to_table(events, f"{folder}/out", f"{folder}/state").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def stream_changes(spark, d):
+    return _streamed(spark, d).where("event <> 'inactive'").select("unit_key", "at", "event", "old_price", "price", "times_seen")
+
+
+def stream_cooldown(spark, d):
+    return _streamed(spark, d).where("alert").select("unit_key", "at", "event")
+
+
+def stream_inactive(spark, d):
+    return _streamed(spark, d).where("event = 'inactive'").select("unit_key", "at", "times_seen")
+
+
+def full_pass(spark, d):
+    """Two passes over order units split by key: the second sees lower prices for some."""
+    rows = v.order_units(spark, d).withColumn("city", F.lit("Surfside"))
+    store = Store(spark, f"{shared_folder(spark)}/pass-{uuid.uuid4().hex}")
+    register = v.table(spark, d, "part").select(
+        F.expr("concat('F', p_partkey)").alias("folio"), F.expr("concat(100 + p_partkey, ' COLLINS AVE')").alias("site_address"),
+        F.lit(None).cast("string").alias("unit"), F.lit(1500).alias("sqft"), F.lit(2016).alias("year_built"),
+        F.lit(None).cast("double").alias("beds"), F.lit(None).cast("double").alias("baths"), F.lit(None).cast("string").alias("use_code"),
+        F.lit("register").alias("source"), F.col("p_partkey").alias("reg_seq"))
+    settings = PassSettings(prefilter=False)
+    run_pass(spark, store, rows.where("unit_no % 4 <> 1"), datetime(2024, 1, 1), 0, settings, register=register)
+    second = rows.withColumn("price", F.expr("if(unit_no % 3 = 0, price - 400, price)"))
+    run_pass(spark, store, second.where("unit_no % 4 <> 2"), datetime(2024, 1, 10), 1, settings, register=register)
+    return store.log("runs").select(
+        F.col("started_at").cast("timestamp_ntz").alias("started_at"), "fetched", "deduped", "matched", "new_listings", "price_drops",
+        "alerts_sent", "marked_inactive")
+
+
+QUERIES.update({
+    "stream_changes": stream_changes, "stream_cooldown": stream_cooldown, "stream_inactive": stream_inactive,
+    "full_pass": full_pass,
+})
