@@ -522,19 +522,19 @@ def _unit_stream(spark, d) -> DataFrame:
 def _streamed(spark, d) -> DataFrame:
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = changes.unit_events(_unit_stream(spark, d), inactive_hours=8)
-    return changes.run_to_table(events, f"{folder}/out", f"{folder}/state").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return changes.run_to_table(events, f"{folder}/out", f"{folder}/state").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
 
 def stream_changes(spark, d):
-    return _streamed(spark, d).where("event <> 'inactive'").select("unit_key", "at", "event", "old_price", "price", "times_seen")
+    return _streamed(spark, d).where("event <> 'inactive'").select("unit_key", "seen_at", "event", "old_price", "price", "times_seen")
 
 
 def stream_cooldown(spark, d):
-    return _streamed(spark, d).where("alert").select("unit_key", "at", "event")
+    return _streamed(spark, d).where("alert").select("unit_key", "seen_at", "event")
 
 
 def stream_inactive(spark, d):
-    return _streamed(spark, d).where("event = 'inactive'").select("unit_key", "at", "times_seen")
+    return _streamed(spark, d).where("event = 'inactive'").select("unit_key", "seen_at", "times_seen")
 
 
 def full_pass(spark, d):

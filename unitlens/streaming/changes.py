@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import timedelta
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "unit_key bigint, at timestamp, event string, old_price int, price int, times_seen int, alert boolean"
+OUTPUT = "unit_key bigint, at_ms bigint, event string, old_price int, price int, times_seen int, alert boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,16 +23,15 @@ class UnitProcessor(StatefulProcessor):
     """What is kept of a unit: last price, when it was last seen, how often, and when each kind was last told."""
 
     def __init__(self, cooldown_hours: int, inactive_hours: int, min_dollars: int, min_pct: float):
-        self.cooldown = timedelta(hours=cooldown_hours)
-        self.inactive = timedelta(hours=inactive_hours)
+        self.cooldown, self.inactive = cooldown_hours * 3_600_000, inactive_hours * 3_600_000
         self.min_dollars, self.min_pct = min_dollars, min_pct
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.life = handle.getValueState("life", "price int, last_seen timestamp, times_seen int")
-        self.told = handle.getMapState("told", "kind string", "at timestamp")
+        self.life = handle.getValueState("life", "price int, last_seen bigint, times_seen int")
+        self.told = handle.getMapState("told", "kind string", "at bigint")
 
-    def _tell(self, kind: str, at) -> bool:
+    def _tell(self, kind: str, at: int) -> bool:
         if self.told.containsKey((kind,)) and at - self.told.getValue((kind,))[0] < self.cooldown:
             return False
         self.told.updateValue((kind,), (at,))
@@ -44,8 +42,8 @@ class UnitProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         life = self.life.get() if self.life.exists() else None
-        for row in sorted(rows, key=lambda r: r["at"]):
-            old, new, at = (life[0] if life else None), row["price"], row["at"]
+        for row in sorted(rows, key=lambda r: r["at_ms"]):
+            old, new, at = (life[0] if life else None), row["price"], row["at_ms"]
             event, alert = "unchanged", False
             if life is None:
                 event, alert = "new", self._tell("new", at)
@@ -53,15 +51,15 @@ class UnitProcessor(StatefulProcessor):
                 event = "price_drop" if new < old else "price_increase"
                 alert = event == "price_drop" and self._is_material(old, new) and self._tell(event, at)
             life = (new if new is not None else old, at, (life[2] if life else 0) + row["n"])
-            yield Row(unit_key=key[0], at=at, event=event, old_price=old, price=new, times_seen=life[2], alert=alert)
+            yield Row(unit_key=key[0], at_ms=at, event=event, old_price=old, price=new, times_seen=life[2], alert=alert)
         self.life.update(life)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((life[1] + self.inactive).timestamp() * 1000))
+        self.handle.registerTimer(life[1] + self.inactive)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         price, last_seen, times = self.life.get()
-        yield Row(unit_key=key[0], at=last_seen, event="inactive", old_price=price, price=None, times_seen=times, alert=False)
+        yield Row(unit_key=key[0], at_ms=last_seen, event="inactive", old_price=price, price=None, times_seen=times, alert=False)
 
     def close(self) -> None:
         pass
@@ -72,7 +70,7 @@ def hourly_units(sightings: DataFrame, watermark: str, width: str) -> DataFrame:
     fresh = sightings.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["source_key", "ts"])
     hourly = fresh.groupBy(F.window("ts", width), "unit_key").agg(
         F.min("price").alias("price"), F.count("*").cast("int").alias("n"))
-    return hourly.select("unit_key", "window", F.col("window.start").alias("at"), "price", "n")
+    return hourly.select("unit_key", "window", F.unix_millis("window.start").alias("at_ms"), "price", "n")
 
 
 def unit_events(sightings: DataFrame, watermark: str = "1 hour", width: str = "1 hour", cooldown_hours: int = 24,
@@ -101,4 +99,4 @@ def run_to_table(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(OUTPUT).parquet(path)
+    return spark.read.schema(OUTPUT).parquet(path).withColumn("seen_at", F.timestamp_millis("at_ms")).drop("at_ms")
