@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens import fixed_values as fv
-from unitlens.functions.text import clean_text, match_form, settle, sql_text
+from unitlens.functions.text import clean_text, match_form, settle
 
 _DIGITS = r"(\d{1,2})"
 _LAST_DIGITS = r"(\d{1,2})\s*(?:\+)?\s*(?:mo|mos|month|months)$"
@@ -25,65 +25,77 @@ def digits_for_words(c: Column) -> Column:
     return F.when(c.rlike(rf"(?<![a-z0-9])(?:{any_word})(?![a-z0-9])"), out).otherwise(c)
 
 
-def _found(blob: str, patterns, label: str, low: str, high: str, allowed: str) -> Column:
-    """First pattern whose first match holds an allowed value. Each pattern runs once; ``low`` and ``high`` are
-    read off the short text ``h`` it matched."""
-    hits = "array(" + ", ".join(f"regexp_extract({blob}, {sql_text(p)}, 0)" for p in patterns) + ")"
-    window = f"named_struct('lo', {low}, 'hi', {high}, 'ev', concat('{label}:', trim(h)))"
-    return F.expr(f"get(filter(transform({hits}, h -> {window}), w -> {allowed}), 0)")
+_GATE = r"\d\s*(?:mo|mos|month|months|yr|yrs|year|years)\b"
+_PATTERNS = (
+    [("range", p) for p in fv.LEASE_RANGE_PATTERNS] + [("min", p) for p in fv.LEASE_MIN_PATTERNS]
+    + [("max", p) for p in fv.LEASE_MAX_PATTERNS] + [("years", p) for p in fv.LEASE_YEAR_PATTERNS]
+    + [("exact", p) for p in fv.LEASE_EXACT_PATTERNS]
+)
 
 
-_FIRST_INT = f"try_cast(regexp_extract(h, {sql_text(_DIGITS)}, 1) as int)"
-_LAST_INT = f"try_cast(regexp_extract(h, {sql_text(_LAST_DIGITS)}, 1) as int)"
-_IN_MONTHS = f"w.lo between 1 and {fv.LEASE_MAX_MONTHS}"
-_RANGE = ("range", _FIRST_INT, _LAST_INT, f"w.lo > 0 and w.lo <= w.hi and w.hi <= {fv.LEASE_MAX_MONTHS}")
-_YEARS = ("years", f"{_FIRST_INT} * 12", f"{_FIRST_INT} * 12", f"w.lo between 12 and {12 * fv.LEASE_MAX_YEARS}")
-_PHRASE = "named_struct('lo', 12, 'hi', 12, 'ev', concat('phrase:', p))"
+def _window(label: str) -> Column:
+    """The first pattern of a group whose first match holds an allowed value."""
+    cases = []
+    for i, (name, _) in enumerate(_PATTERNS):
+        if name != label:
+            continue
+        low, high, hit = F.col(f"__low{i}"), F.col(f"__high{i}"), F.col(f"__hit{i}")
+        if label == "years":
+            ok, low, high = low.between(1, fv.LEASE_MAX_YEARS), low * 12, low * 12
+        elif label == "range":
+            ok = (low > 0) & (low <= high) & (high <= fv.LEASE_MAX_MONTHS)
+        else:
+            ok, high = low.between(1, fv.LEASE_MAX_MONTHS), low
+        cases.append(F.when(ok, F.struct(
+            low.alias("lo"), high.alias("hi"), F.concat(F.lit(f"{label}:"), F.btrim(hit)).alias("ev"))))
+    return F.coalesce(*cases)
 
 
-def _single(label: str):
-    return (label, _FIRST_INT, _FIRST_INT, _IN_MONTHS)
+def _phrase(blob: Column) -> Column:
+    cases = [F.when(F.contains(blob, F.lit(p)), F.lit(p)) for p in fv.ANNUAL_PHRASES]
+    return F.coalesce(*cases)
 
 
 def extract_lease_terms(df: DataFrame, *columns: str, out: str = "lease_term") -> DataFrame:
     """Add ``out``: the lease window stated anywhere in the named text columns, read as one text.
 
-    The patterns run on the whole text, each once. Later groups are only evaluated for rows the earlier ones
-    left open, since CASE stops at the first branch that holds.
+    Every pattern but the phrases needs a number before a month or year word, so one search for that spares most
+    texts the others. A pattern runs once over the text; its numbers are read off the few words it matched.
     """
     texts = [F.when(F.col(c) != "", clean_text(F.col(c))) for c in columns]
-    blob = F.col("__lease_blob")
+    blob, gate = F.col("__lease_blob"), F.col("__lease_gate")
     staged = df.withColumn("__lease_blob", match_form(F.concat_ws(" . ", *texts))).withColumn(
         "__lease_blob", digits_for_words(blob)
-    )
-    staged = staged.withColumn("__lease_range", _found("__lease_blob", fv.LEASE_RANGE_PATTERNS, *_RANGE))
-    no_range = F.col("__lease_range").isNull()
+    ).withColumn("__lease_gate", blob.rlike(_GATE))
     staged = staged.withColumns({
-        "__lease_min": F.when(no_range, _found("__lease_blob", fv.LEASE_MIN_PATTERNS, *_single("min"))),
-        "__lease_max": F.when(no_range, _found("__lease_blob", fv.LEASE_MAX_PATTERNS, *_single("max"))),
+        f"__hit{i}": F.when(gate, F.regexp_extract(blob, p, 0)) for i, (_, p) in enumerate(_PATTERNS)
     })
-    open_row = no_range & F.col("__lease_min").isNull() & F.col("__lease_max").isNull()
-    phrases = "array(" + ", ".join(sql_text(p) for p in fv.ANNUAL_PHRASES) + ")"
-    said = F.expr(f"get(transform(filter({phrases}, p -> contains(__lease_blob, p)), p -> {_PHRASE}), 0)")
-    staged = staged.withColumn(
-        "__lease_other",
-        F.when(open_row, F.coalesce(
-            _found("__lease_blob", fv.LEASE_YEAR_PATTERNS, *_YEARS),
-            _found("__lease_blob", fv.LEASE_EXACT_PATTERNS, *_single("exact")),
-            said,
-        )),
-    )
-    parts = [F.col(f"__lease_{p}") for p in ("range", "min", "max", "other")]
-    rng, low, high, other = parts
+    numbers = {}
+    for i, (label, _) in enumerate(_PATTERNS):
+        hit = F.col(f"__hit{i}")
+        numbers[f"__low{i}"] = F.when(hit != "", F.regexp_extract(hit, _DIGITS, 1).try_cast("int"))
+        if label == "range":
+            numbers[f"__high{i}"] = F.when(hit != "", F.regexp_extract(hit, _LAST_DIGITS, 1).try_cast("int"))
+    staged = staged.withColumns(numbers)
+    staged = staged.withColumns({f"__lease_{g}": _window(g) for g in ("range", "min", "max", "years", "exact")})
+    rng, low, high = (F.col(f"__lease_{g}") for g in ("range", "min", "max"))
+    unsaid = rng.isNull() & low.isNull() & high.isNull()
+    number = F.coalesce("__lease_years", "__lease_exact")
+    staged = staged.withColumn("__lease_phrase", F.when(unsaid & number.isNull(), _phrase(blob)))
+    said = F.col("__lease_phrase")
+    phrase = F.when(said.isNotNull(), F.struct(
+        F.lit(12).alias("lo"), F.lit(12).alias("hi"), F.concat(F.lit("phrase:"), said).alias("ev")))
+    staged = staged.withColumn("__lease_other", F.when(unsaid, F.coalesce(number, phrase)))
+    other = F.col("__lease_other")
+    bounded = F.when(rng.isNull(), low["ev"]), F.when(rng.isNull(), high["ev"])
     term = F.struct(
-        F.coalesce(rng["lo"], low["lo"], other["lo"]).alias("min_months"),
-        F.coalesce(rng["hi"], high["hi"], other["hi"]).alias("max_months"),
+        F.when(rng.isNotNull(), rng["lo"]).otherwise(F.coalesce(low["lo"], other["lo"])).alias("min_months"),
+        F.when(rng.isNotNull(), rng["hi"]).otherwise(F.coalesce(high["hi"], other["hi"])).alias("max_months"),
         F.substring(blob, 1, 500).alias("raw"),
-        F.array_compact(F.array(*[p["ev"] for p in parts])).alias("evidence"),
+        F.array_compact(F.array(rng["ev"], *bounded, other["ev"])).alias("evidence"),
     )
-    return settle(staged.withColumn(out, term).drop(
-        "__lease_blob", "__lease_range", "__lease_min", "__lease_max", "__lease_other"
-    ), out)
+    made = [c for c in staged.columns if c.startswith(("__lease_", "__hit", "__low", "__high"))]
+    return settle(staged.withColumn(out, term).drop(*made), out)
 
 
 def lease_known(term: Column) -> Column:

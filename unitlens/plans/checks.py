@@ -142,7 +142,7 @@ def category_matches_documents(spark, d):
 
 
 def page_text(spark, d):
-    pages = tx.fold_unicode(v.table(spark, d, "pages"), "html")
+    pages = tx.fold_unicode(v.spread(v.table(spark, d, "pages")), "html")
     return pages.select("page_id", tx.match_form(F.col("html")).alias("text"))
 
 

@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores is spread before heavy per-row work. Large tables have more
+    splits than that and pass as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_of(key: str, *choices: str) -> Column:
     """The choice picked by ``key`` modulo their number. Choices are SQL expressions."""
     cases = " ".join(f"when {i} then {c}" for i, c in enumerate(choices))
@@ -34,7 +41,7 @@ DESCRIPTIONS = (
 
 def sightings(spark: SparkSession, d: str) -> DataFrame:
     """lineitem and part as sightings of the unit l_partkey by four portals."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(table(spark, d, "lineitem")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     unit = "concat(1 + l_partkey % 40, 'B')"
     spelled = one_of("l_orderkey", f"concat('#', {unit})", f"concat('Apt ', {unit})",
                      "concat('Unit ', 1 + l_partkey % 40, '-B')", "concat('APT ', 1 + l_partkey % 40, ' b')")
@@ -94,7 +101,7 @@ def order_notes(spark: SparkSession, d: str) -> DataFrame:
     s = _sentence("o_orderkey")
     body = F.concat(F.lit("The host writes as follows. "), s, F.lit(". Come and see the lovely quiet place soon."))
     spelled = F.expr("o_orderkey % 4")
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         "o_orderkey",
         F.when(spelled == 0, body).when(spelled == 1, F.upper(body)).when(spelled == 2, F.replace(body, F.lit(" "), F.lit("  ")))
         .otherwise(F.concat(F.lit("<p>"), F.replace(body, F.lit(". "), F.lit(".</p><p>")))).alias("note"))
@@ -103,7 +110,7 @@ def order_notes(spark: SparkSession, d: str) -> DataFrame:
 def document_notes(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents with a sentence put before and the text left as it is."""
     body = F.concat(F.lit("The host writes as follows. "), _sentence("doc_id"), F.lit(". Come and see the lovely quiet place soon. "), "text")
-    return table(spark, d, "documents").select("doc_id", body.alias("note"))
+    return spread(table(spark, d, "documents")).select("doc_id", body.alias("note"))
 
 
 def event_payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +122,7 @@ def event_payloads(spark: SparkSession, d: str) -> DataFrame:
     page = one_of("event_id", f"to_json(named_struct('listings', {recs}, 'total', 5))",
                   f"to_json(named_struct('data', named_struct('results', {recs})))", f"to_json({recs})",
                   f"to_json(named_struct('odd', named_struct('noise', array(1, 2, 3), 'deep', named_struct('x', {recs}))))")
-    return table(spark, d, "events").select(
+    return spread(table(spark, d, "events")).select(
         "event_id", F.col("event_type").alias("source"), F.lit(0).alias("priority"),
         F.expr("concat('page-', event_id)").alias("file"), page.alias("body")).withColumn("doc", F.try_parse_json("body"))
 
@@ -127,7 +134,7 @@ def html_payloads(spark: SparkSession, d: str) -> DataFrame:
     script = one_of("page_id", f"""concat('<script id="__NEXT_DATA__" type="application/json">', {state}, '</script>')""",
                     f"concat('<script>window.__INITIAL_STATE__ = ', {state}, ';</script>')",
                     f"""concat('<script type="application/ld+json">', {state}, '</script>')""", "''")
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages")).select(
         "page_id", F.lit("scraped").alias("source"), F.lit(0).alias("priority"),
         F.expr("concat('html-', page_id)").alias("file"), F.concat("html", script).alias("body"))
 
@@ -146,7 +153,7 @@ def order_units(spark: SparkSession, d: str) -> DataFrame:
     """orders as resolved units: every attribute is arithmetic on the key."""
     texts = ", ".join("'" + t + "'" for t in DESCRIPTIONS)
     k = "o_orderkey"
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         F.col(k).alias("unit_no"), F.lit("orders").alias("source"), F.expr(f"cast({k} as string)").alias("source_id"),
         F.lit(None).cast("string").alias("url"), F.expr(f"concat(100 + {k}, ' Collins Ave #', 1 + {k} % 9, 'C')").alias("address"),
         F.lit(None).cast("string").alias("unit"),
