@@ -1,6 +1,6 @@
 """One pass: sightings in, snapshot, history, alerts and counts out.
 
-The plan is lazy up to two written tables, the merged batch and the new snapshot, as both are read several times.
+The plan is lazy up to three written tables, the keyed batch, the verdicts and the new snapshot, which are read several times.
 Reading them back ends the lineage, so a lost executor costs a scan and not a rerun.
 """
 
@@ -18,7 +18,7 @@ from unitlens.functions.address import standardize_addresses
 from unitlens.functions.text import fold_unicode
 from unitlens.operators import alerts, derive, enrich, merge, resolve, state, stats, verdicts
 from unitlens.operators.sinks import Store
-from unitlens.schema import conform
+from unitlens.schema import SIGHTING_FIELDS, conform
 
 UNIT_COLUMNS = (
     "dedupe_key", "unit_hash", "building_hash", "geo_hash", "source", "source_id", "url", "address", "unit", "city", "state",
@@ -44,19 +44,23 @@ def _empty_like(df: DataFrame, extra: str = "") -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def merged_batch(sightings: DataFrame, snapshot: DataFrame | None, seen: DataFrame | None, settings: PassSettings):
-    """Keyed sightings, and one row per unit with the stored unit it belongs to."""
+def keyed_batch(sightings: DataFrame, settings: PassSettings) -> DataFrame:
+    """Sightings with their identities, without those that state a violation of a numeric limit."""
     keyed = derive.derive_identity(fold_unicode(conform(sightings), *TEXT_COLUMNS))
     if settings.prefilter:
         measured = geo.measure_distance(keyed).withColumnRenamed("miles", "miles_from_ocean")
         keyed = measured.where(verdicts.passes_prefilter(settings.search)).drop("miles_from_ocean", "is_near", "within_box")
+    return keyed.select(*SIGHTING_FIELDS, "ingest_seq", "dedupe_key", "source_key")
+
+
+def merged_batch(keyed: DataFrame, snapshot: DataFrame | None, seen: DataFrame | None) -> DataFrame:
+    """One row per unit with the stored unit it belongs to."""
     units = derive.derive_identity(merge.merge_units(keyed))
     if snapshot is None:
-        return keyed, units.withColumns({"resolved_key": F.col("dedupe_key"), "resolved_by": F.lit(None).cast("int")})
+        return units.withColumns({"resolved_key": F.col("dedupe_key"), "resolved_by": F.lit(None).cast("int")})
     resolved = resolve.resolve_units(units, snapshot, seen)
     # two units of the batch may belong to one stored unit
-    one = merge.merge_units(resolved, "resolved_key")
-    return keyed, derive.derive_identity(one)
+    return derive.derive_identity(merge.merge_units(resolved, "resolved_key"))
 
 
 def judged_batch(units: DataFrame, settings: PassSettings, register=None, valuations=None, parcels=None) -> DataFrame:
@@ -87,7 +91,8 @@ def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: da
         return None
     now = F.lit(run_ts).cast("timestamp")
     snapshot, seen = store.state("units"), store.state("sightings")
-    keyed, units = merged_batch(sightings, snapshot, seen, s)
+    keyed = store.put("keyed", keyed_batch(sightings, s), batch_id)
+    units = merged_batch(keyed, snapshot, seen)
     judged = judged_batch(units, s, register, valuations, parcels).select(*UNIT_COLUMNS, "resolved_key", "failures")
     judged = store.put("judged", judged, batch_id)
 
