@@ -20,7 +20,7 @@ FEED_SCHEMA = "title string, link string, description string, `dc:date` string,
 
 def read_bodies(spark: SparkSession, path: str, source: str, priority: int = 0) -> DataFrame:
     """One row per file: source, priority, file, body."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
     return files.select(
         F.lit(source).alias("source"), F.lit(priority).alias("priority"),
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"),
