@@ -4,10 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from unitlens.llm import quality_rules
-from unitlens.llm.storage import table
+from unitlens.llm import golay_simhash, language_id, packing, quality_model, quality_rules, token_store
+from unitlens.llm.storage import shared_path, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.bucket("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    slots = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return slots.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.bucket("doc_id", 5) == 0
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality_model.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +45,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_token_store": op4_token_store,
+    "op6_quality_model": op6_quality_model,
     "op8_quality_rules": op8_quality_rules,
+    "op10_golay_simhash": op10_golay_simhash,
 }
