@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitlens.llm import golay_simhash, language_id, packing, quality_model, quality_rules, token_store
+from unitlens.llm import (
+    golay_simhash,
+    language_id,
+    packing,
+    piece_counts,
+    piece_viterbi,
+    projection_neighbours,
+    quality_model,
+    quality_rules,
+    token_store,
+)
 from unitlens.llm.storage import shared_path, table
 
 
@@ -25,12 +35,27 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_projection_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    encoded = piece_viterbi.encode(docs, model).withColumn("n_tokens", F.octet_length("ids").cast("long") / 4) \
+        .withColumn("ids_crc32", F.crc32("ids"))
+    return piece_viterbi.decode(encoded, model).select(
+        "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32",
+        (F.xxhash64("text") == F.col("hash")).alias("round_trip"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.bucket("doc_id", 5) == 0
@@ -45,6 +70,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,8 +83,11 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_projection_neighbours": op3_projection_neighbours,
     "op4_token_store": op4_token_store,
+    "op5_piece_viterbi": op5_piece_viterbi,
     "op6_quality_model": op6_quality_model,
     "op8_quality_rules": op8_quality_rules,
+    "op9_piece_counts": op9_piece_counts,
     "op10_golay_simhash": op10_golay_simhash,
 }
