@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from unitlens.llm import (
     golay_simhash,
     language_id,
+    line_dedup,
     packing,
     piece_counts,
     piece_viterbi,
@@ -64,6 +65,11 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document: the component it is in, where its first occurrence is, and whether it stays."""
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
     "op5_piece_viterbi": op5_piece_viterbi,
     "op6_quality_model": op6_quality_model,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_piece_counts": op9_piece_counts,
     "op10_golay_simhash": op10_golay_simhash,
