@@ -261,9 +261,9 @@ ENVELOPE_KEYS = ("listings", "results", "properties", "data", "items", "records"
 NESTED_ENVELOPE_KEYS = ("listings", "results", "properties", "items")
 STATE_PATTERNS = (
     r'(?is)<script[^>]+id="__NEXT_DATA__"[^>]*>(.*?)</script>',
-    r"(?s)window\.__INITIAL_STATE__\s*=\s*(\{.*?\})\s*;?\s*</script>",
-    r"(?s)window\.__reactServerState\s*=\s*(\{.*?\})\s*;?\s*</script>",
-    r"(?s)root\.__STATE__\s*=\s*(\{.*?\})\s*;?\s*</script>",
+    r"(?s)window\.__INITIAL_STATE__\s*=\s*(\{.*?\})\s*(?:;.*?)?</script>",
+    r"(?s)window\.__reactServerState\s*=\s*(\{.*?\})\s*(?:;.*?)?</script>",
+    r"(?s)root\.__STATE__\s*=\s*(\{.*?\})\s*(?:;.*?)?</script>",
     r'(?s)<!--\s*(\{"queryState".*?\})\s*-->',
 )
 JSON_LD_PATTERN = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""

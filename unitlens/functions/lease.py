@@ -25,7 +25,8 @@ def digits_for_words(c: Column) -> Column:
     return F.when(c.rlike(rf"(?<![a-z0-9])(?:{any_word})(?![a-z0-9])"), out).otherwise(c)
 
 
-_GATE = r"\d\s*(?:mo|mos|month|months|yr|yrs|year|years)\b"
+#: Wider than every pattern below: a digit, then a unit word with nothing but spaces and signs between.
+_GATE = r"\d[^a-z0-9]*(?:mo|mos|month|months|yr|yrs|year|years)\b"
 _PATTERNS = (
     [("range", p) for p in fv.LEASE_RANGE_PATTERNS] + [("min", p) for p in fv.LEASE_MIN_PATTERNS]
     + [("max", p) for p in fv.LEASE_MAX_PATTERNS] + [("years", p) for p in fv.LEASE_YEAR_PATTERNS]
@@ -91,7 +92,7 @@ def extract_lease_terms(df: DataFrame, *columns: str, out: str = "lease_term") -
     term = F.struct(
         F.when(rng.isNotNull(), rng["lo"]).otherwise(F.coalesce(low["lo"], other["lo"])).alias("min_months"),
         F.when(rng.isNotNull(), rng["hi"]).otherwise(F.coalesce(high["hi"], other["hi"])).alias("max_months"),
-        F.substring(blob, 1, 500).alias("raw"),
+        blob.alias("raw"),
         F.array_compact(F.array(rng["ev"], *bounded, other["ev"])).alias("evidence"),
     )
     made = [c for c in staged.columns if c.startswith(("__lease_", "__hit", "__low", "__high"))]

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from unitlens import fixed_values as fv
 
 _NON_ASCII = r"[^\x00-\x7F]"
-_SPACES = r"[\s\x1c-\x1f\x85\u1680\u2028\u2029]+"
+_SPACES = r"[\s\x1c-\x1f]+"
+#: White space outside ASCII, which Java's ``\\s`` does not match; read as plain spaces everywhere.
+WIDE_SPACES = "".join(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace())
 
 
 def sql_text(text: str) -> str:
@@ -69,9 +71,13 @@ def fold_unicode(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def plain_spaces(c: Column) -> Column:
+    return F.translate(c, WIDE_SPACES, " " * len(WIDE_SPACES))
+
+
 def clean_text(c: Column) -> Column:
-    """Dashes and quotes unified, tags dropped, whitespace collapsed. NULL stays NULL."""
-    unified = F.translate(c, "–—’", "--'")
+    """Dashes, quotes and spaces unified, tags dropped, whitespace collapsed. NULL stays NULL."""
+    unified = F.translate(c, "–—’" + WIDE_SPACES, "--'" + " " * len(WIDE_SPACES))
     untagged = F.regexp_replace(unified, r"<[^>]+>", " ")
     return F.btrim(F.regexp_replace(untagged, _SPACES, " "))
 
@@ -158,7 +164,7 @@ def year_from_text(c: Column) -> Column:
 
 
 def stat_from_text(c: Column, pattern: str) -> Column:
-    return _number(c, pattern)
+    return _number(plain_spaces(c), pattern)
 
 
 def plain_number(c: Column) -> Column:

@@ -80,20 +80,32 @@ def ordered_union(items: Column, limit: int | None = None) -> Column:
     return F.slice(kept, 1, limit) if limit else kept
 
 
-def _walk(start: str, depth: int, list_limit: int | None, descend: str) -> str:
-    """SQL array of all nodes under ``start``: depth d, path p, member name k, value v. ``descend`` says for a
-    node ``x`` whether its children are visited."""
+#: The JSON parser refuses deeper documents, so this many levels are all there can be.
+_ALL_LEVELS, _FIRST_LEVELS = 1000, 6
+
+
+def _walk(start: str, descend: str, depth: int | None = None, list_limit: int | None = None) -> str:
+    """SQL array of all nodes under ``start``: below the start d, path p, member name k, value v. ``descend`` says for
+    a node ``x`` whether its children are visited. Only the newest level is looked at for children; the levels beyond
+    the first few are counted through only where the first few have not ended the document."""
     items = items_of("x.v")
     items = f"slice({items}, 1, {list_limit})" if list_limit else items
     children = (
         f"coalesce(transform({items}, i -> named_struct('key', '', 'value', i)), "
         f"map_entries({members_of('x.v')}), cast(array() as array<struct<key:string,value:variant>>))"
     )
-    child = "named_struct('d', d, 'p', concat(x.p, array(i)), 'k', c.key, 'v', c.value)"
-    return (
-        f"aggregate(sequence(1, {depth}), concat({_NODES}, {start}), (acc, d) -> concat(acc, flatten(transform("
-        f"filter(acc, x -> x.d = d - 1 and {descend}), x -> transform({children}, (c, i) -> {child})))))"
-    )
+    child = "named_struct('d', 1, 'p', concat(x.p, array(i)), 'k', c.key, 'v', c.value)"
+    newer = f"flatten(transform(filter(acc.front, x -> {descend}), x -> transform({children}, (c, i) -> {child})))"
+    step = _bound(newer, "named_struct('front', v, 'found', concat(acc.found, v))")
+
+    def levels(n: int, begin: str) -> str:
+        return f"aggregate(sequence(1, {n}), {begin}, (acc, d) -> if(size(acc.front) = 0, acc, {step}))"
+
+    begin = _bound(f"concat({_NODES}, {start})", "named_struct('front', v, 'found', v)")
+    if depth:
+        return f"{levels(depth, begin)}.found"
+    rest = f"if(size(w.front) = 0, w.found, {levels(_ALL_LEVELS - _FIRST_LEVELS, 'w')}.found)"
+    return f"get(transform(array({levels(_FIRST_LEVELS, begin)}), w -> {rest}), 0)"
 
 
 def _label(node: str) -> str:
@@ -108,14 +120,14 @@ def _scalar(node: str) -> str:
     )
 
 
-def _strings(start: str, depth: int = 6) -> str:
+def _strings(start: str) -> str:
     """SQL array of the strings under the start nodes. An object with a label stands for it and is not entered."""
-    nodes = _walk(start, depth, None, f"{_label('x.v')} is null")
+    nodes = _walk(start, f"{_label('x.v')} is null")
     pairs = f"transform({nodes}, n -> named_struct('p', n.p, 's', coalesce({_label('n.v')}, {_scalar('n.v')})))"
     return f"transform(array_sort(filter({pairs}, n -> n.s is not null)), n -> n.s)"
 
 
-def collect_strings(doc: str, paths, limit: int = 40) -> Column:
+def collect_strings(doc: str, paths, limit: int | None = None) -> Column:
     """Strings found at any of the paths, in order, each once."""
     if not paths:
         return F.array().cast("array<string>")
@@ -124,28 +136,33 @@ def collect_strings(doc: str, paths, limit: int = 40) -> Column:
     return ordered_union(F.expr(f"filter(transform({found}, s -> trim(s)), s -> s <> '')"), limit)
 
 
-def scattered_text(doc: str, names, limit: int = fv.TEXT_LIMIT) -> Column:
-    """Every string under a member with one of the names, anywhere in the document, as one text."""
+def scattered_text(doc: str, names, limit: int | None = None, depth: int | None = None,
+                   list_limit: int | None = None) -> Column:
+    """Every string under a member with one of the names, anywhere in the document, as one text. The limits (characters,
+    levels, items of a list) are off unless given."""
     if not names:
         return F.lit(None).cast("string")
     wanted = "lower(x.k) in (" + ", ".join(sql_text(n.lower()) for n in names) + ")"
     root = f"array(named_struct('d', 0, 'p', cast(array() as array<int>), 'k', '', 'v', {doc}))"
-    nodes = _walk(root, fv.SEARCH_DEPTH + 1, fv.TEXT_LIST_DESCENT, f"not ({wanted})")
-    below = _strings("array(named_struct('d', 0, 'p', array(0), 'k', '', 'v', x.v))", depth=3)
+    nodes = _walk(root, f"not ({wanted})", depth, list_limit)
+    below = _strings("array(named_struct('d', 0, 'p', array(0), 'k', '', 'v', x.v))")
     hits = f"transform(filter({nodes}, x -> x.d > 0 and {wanted}), x -> named_struct('p', x.p, 's', {below}))"
     texts = f"filter(array_distinct(flatten(transform(array_sort({hits}), x -> x.s))), s -> s <> '')"
-    return F.expr(f"nullif(left(array_join({texts}, ' . '), {limit}), '')")
+    joined = f"array_join({texts}, ' . ')"
+    return F.expr(f"nullif({f'left({joined}, {limit})' if limit else joined}, '')")
 
 
-def find_result_array_sql(doc: str, min_signals: int = 2) -> str:
+def find_result_array_sql(doc: str, min_signals: int = 2, depth: int | None = None, list_limit: int | None = None,
+                          probed: int | None = None) -> str:
+    """``depth``, ``list_limit`` and ``probed`` (objects of an array that are looked at) are off unless given."""
     signals = "array(" + ", ".join(sql_text(s) for s in fv.LISTING_SIGNALS) + ")"
     names = f"transform(map_keys({members_of('o')}), k -> lower(k))"
     looks_right = f"size(array_intersect({names}, {signals})) >= {min_signals}"
     root = f"array(named_struct('d', 0, 'p', cast(array() as array<int>), 'k', '', 'v', {doc}))"
-    nodes = _walk(root, fv.SEARCH_DEPTH, fv.LIST_DESCENT, "true")
+    nodes = _walk(root, "true", depth, list_limit)
     objects = f"filter({items_of('n.v')}, o -> {members_of('o')} is not null)"
     lists = f"transform({nodes}, n -> named_struct('p', n.p, 'o', coalesce({objects}, cast(array() as array<variant>))))"
-    fitting = f"filter({lists}, l -> exists(slice(l.o, 1, 5), o -> {looks_right}))"
+    fitting = f"filter({lists}, l -> exists({f'slice(l.o, 1, {probed})' if probed else 'l.o'}, o -> {looks_right}))"
     none = "named_struct('p', cast(null as array<int>), 'o', cast(array() as array<variant>))"
     better = "size(l.o) > size(acc.o) or (size(l.o) = size(acc.o) and l.p < acc.p)"
     return f"aggregate({fitting}, {none}, (acc, l) -> if({better}, l, acc)).o"

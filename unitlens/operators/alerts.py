@@ -28,11 +28,11 @@ def alert_events(changes: DataFrame, criteria: AlertCriteria | None = None) -> D
 def suppress_recent(events: DataFrame, alerts: DataFrame, now: Column, hours: int = 24, key: str = "dedupe_key") -> DataFrame:
     """Drop events whose (unit, kind) was told successfully within the window before ``now``.
 
-    The log is reduced to the last success per (unit, kind) first, so a unit told very often stays one row.
+    The time limit goes down to the log's scan; a unit told very often stays one row.
     """
-    last = alerts.where("ok").groupBy(key, "kind").agg(F.max("sent_at").alias("last_sent"))
     cutoff = now - F.make_dt_interval(F.lit(0), F.lit(hours))
-    return events.join(last.where(F.col("last_sent") >= cutoff), [key, "kind"], "left_anti")
+    recent = alerts.where("ok").where(F.col("sent_at") >= cutoff).select(key, "kind").distinct()
+    return events.join(recent, [key, "kind"], "left_anti")
 
 
 def suppress_recent_as_of(events: DataFrame, alerts: DataFrame, hours: int = 24, key: str = "dedupe_key",
@@ -72,6 +72,14 @@ def top_alerts(events: DataFrame, limit: int = 25, tie: tuple = ("dedupe_key",))
     return events.orderBy(F.col("kind") != "price_drop", F.desc("score"), *tie).limit(limit)
 
 
+def ranked_alerts(events: DataFrame, limit: int = 25, tie: tuple = ("dedupe_key",)) -> DataFrame:
+    """All events, with ``rank`` for those within the report's cap and NULL beyond it. A channel writer cuts; nothing is
+    lost. Only the capped rows are ranked, so no order over all events is needed."""
+    order = Window.orderBy(F.col("kind") != "price_drop", F.desc("score"), *tie)
+    best = top_alerts(events, limit, tie).select(*tie, "kind", F.row_number().over(order).alias("rank"))
+    return events.join(best, [*tie, "kind"], "left")
+
+
 def alert_content(events: DataFrame) -> DataFrame:
     """Headline, ordered name/value fields and footer of every event."""
     price, old, sqft = F.col("price"), F.col("old_price"), F.nullif(F.col("sqft"), F.lit(0))
@@ -152,4 +160,4 @@ def alert_log(sent: DataFrame, channel: str, sent_at: Column, ok: bool = True, d
     """Rows for the log of what was told."""
     return sent.select(
         "dedupe_key", "kind", F.lit(channel).alias("channel"), "price", sent_at.alias("sent_at"), F.lit(ok).alias("ok"),
-        F.lit(detail[:1000]).alias("detail"))
+        F.lit(detail).alias("detail"))

@@ -26,12 +26,15 @@ def with_street_key(register: DataFrame) -> DataFrame:
         "__r_parts", *[f"__r_{c}" for c in ("city", "state", "zip", "unit")])
 
 
-def _substrings(c: Column) -> Column:
-    """All substrings of a short text."""
-    n = F.length(c)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(c, i, k)))))
+def _substrings(c: Column, length: Column) -> Column:
+    """The substrings of a text that have the given length; none if it is shorter."""
+    starts = F.when(F.length(c) >= length, F.sequence(F.lit(1), F.length(c) - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, length)))
+
+
+def _spread_nulls(key: Column, *by: str) -> Column:
+    """``key``, or a text of its own that no key equals: rows without a key do not meet in one partition."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64(*by).cast("string")))
 
 
 def match_register(units: DataFrame, register: DataFrame, street: str = "street_key", unit: str = "unit") -> DataFrame:
@@ -39,17 +42,23 @@ def match_register(units: DataFrame, register: DataFrame, street: str = "street_
     address ends in a word holding the unit, else the first of the street.
 
     ``register`` has ``street_key``, ``reg_seq`` and the facts. "Holding" is answered without a join of all
-    pairs: the register lists the substrings of its last word and the unit is looked up among them.
+    pairs: of its last word the register lists the substrings that are as long as a unit of that street, and the unit is
+    looked up among them.
     """
     record = F.struct("reg_seq", *[F.col(c) for c in _FACTS])
     last_word = ad.normalize_unit(F.element_at(F.split(F.btrim("site_address"), r"\s+"), -1))
-    rows = register.select("street_key", record.alias("rec"), ad.normalize_unit(F.col("unit")).alias("u"), last_word.alias("w"))
+    rows = register.where("street_key is not null").select(
+        "street_key", record.alias("rec"), ad.normalize_unit(F.col("unit")).alias("u"), last_word.alias("w"))
     exact = rows.where("u <> ''").select("street_key", F.col("u").alias("probe"), F.lit(0).alias("rank"), "rec")
-    held = rows.where("w <> ''").select("street_key", F.explode(_substrings(F.col("w"))).alias("probe"), F.lit(1).alias("rank"), "rec")
+    u = units.withColumns({"__street": _spread_nulls(F.nullif(F.col(street), F.lit("")), *units.columns[:3]),
+                           "__unit": ad.normalize_unit(F.col(unit))})
+    asked = u.where(F.col(street).isNotNull() & (F.col("__unit") != "")).select(
+        F.col("__street").alias("street_key"), F.length("__unit").alias("n")).distinct()
+    held = rows.where("w <> ''").join(asked, "street_key").select(
+        "street_key", F.explode(_substrings(F.col("w"), F.col("n"))).alias("probe"), F.lit(1).alias("rank"), "rec")
     by_unit = exact.unionByName(held).groupBy(F.col("street_key").alias("__s1"), F.col("probe").alias("__p1")).agg(
         F.min(F.struct("rank", "rec")).alias("hit"))
     by_street = rows.groupBy(F.col("street_key").alias("__s2")).agg(F.min("rec").alias("first"))
-    u = units.withColumns({"__street": F.nullif(F.col(street), F.lit("")), "__unit": ad.normalize_unit(F.col(unit))})
     u = u.join(by_unit, (F.col("__street") == F.col("__s1")) & (F.col("__unit") == F.col("__p1")), "left")
     u = u.join(by_street, F.col("__street") == F.col("__s2"), "left")
     return u.withColumns({
@@ -109,13 +118,16 @@ def verify_units(df: DataFrame, register: DataFrame, parcels: DataFrame | None =
     df = df.withColumn("street_key", F.when(ad.is_usable(F.col("address_parts")), ad.street_line(F.col("address_parts"))))
     matched = match_register(df, with_street_key(register))
     if parcels is not None:
-        rest = matched.where("reg is null and street_key is not null")
-        second = match_register(
-            rest.select("dedupe_key", "street_key", "unit"), street_candidates(rest, parcels)
-        ).select("dedupe_key", F.col("reg").alias("__reg2"), F.col("reg_match").alias("__match2"))
-        matched = matched.join(second, "dedupe_key", "left").withColumns({
-            "reg": F.coalesce("reg", "__reg2"), "reg_match": F.coalesce("reg_match", "__match2"),
-        }).drop("__reg2", "__match2")
+        # asked once per street and unit, however often a unit was sighted; the keys exist only where the first lookup found nothing
+        lost = F.when(F.col("reg").isNull() & F.col("street_key").isNotNull(), F.concat_ws("\0", "street_key", F.coalesce("unit", F.lit("\0"))))
+        matched = matched.withColumn("__lost", lost)
+        rest = matched.where("__lost is not null").select("__lost", "street_key", "unit").distinct()
+        second = match_register(rest, street_candidates(rest, parcels)).select(
+            F.col("__lost").alias("__ask"), F.col("reg").alias("__reg2"), F.col("reg_match").alias("__match2"))
+        matched = matched.withColumn("__lost", _spread_nulls(F.col("__lost"), "dedupe_key")).join(
+            second, F.col("__lost") == F.col("__ask"), "left").withColumns({
+                "reg": F.coalesce("reg", "__reg2"), "reg_match": F.coalesce("reg_match", "__match2"),
+            }).drop("__reg2", "__match2", "__lost", "__ask")
     return validate_against_register(matched).drop("reg")
 
 
@@ -123,17 +135,20 @@ def price_against_models(df: DataFrame, valuations: DataFrame, criteria: Enrichm
     """Rent and value estimates by address, the first provider that has one, then ratio, verdict and yield.
 
     ``valuations`` holds provider, address_key, rent, rent_low, rent_high, value; the key is the one-line address for
-    the first provider and line|zip for the second.
+    the first provider and line|zip for the second. Of repeated answers the first by ``val_seq`` counts where there is
+    that column, else the lowest.
     """
     c = criteria or EnrichmentCriteria()
+    seq = [F.col("val_seq")] if "val_seq" in valuations.columns else []
     keys = {"rentcast": ad.valuation_line, "housecanary": ad.valuation_zip_line}
     rents, values = [], []
     for provider in c.rent_providers:
         one = valuations.where(F.col("provider") == provider).groupBy("address_key").agg(
             F.min(F.when(F.col("rent") > 0, F.struct(
-                "rent", "rent_low", "rent_high", F.lit(provider).alias("by")))).alias(f"__rent_{provider}"),
-            F.min(F.when(F.col("value") > 0, F.struct("value", F.lit(provider).alias("by")))).alias(f"__value_{provider}"))
-        df = df.withColumn("address_key", keys[provider](F.col("address_parts"))).join(one, "address_key", "left")
+                *seq, "rent", "rent_low", "rent_high", F.lit(provider).alias("by")))).alias(f"__rent_{provider}"),
+            F.min(F.when(F.col("value") > 0, F.struct(*seq, "value", F.lit(provider).alias("by")))).alias(f"__value_{provider}"))
+        asked = _spread_nulls(keys[provider](F.col("address_parts")), *df.columns[:3])
+        df = df.withColumn("address_key", asked).join(one.where("address_key is not null"), "address_key", "left")
         rents.append(F.col(f"__rent_{provider}"))
         values.append(F.col(f"__value_{provider}"))
     df = df.withColumns({"__rent": F.coalesce(*rents), "__value": F.coalesce(*values)})
@@ -162,16 +177,14 @@ def enrich(df: DataFrame, register: DataFrame | None, valuations: DataFrame | No
     """Register first, as it can change the size a price is judged by; then the models. With ``only_matched`` the
     rows that failed skip the lookups and come back unchanged."""
     c = criteria or EnrichmentCriteria()
-    chosen = df.where("passed") if c.only_matched else df
-    done = chosen
+    # rows that are not asked for have no address to look up; they pass through the same joins and find nothing
+    asked = F.col("passed") if c.only_matched else F.lit(True)
+    done = df.withColumns({"__parts": F.col("address_parts"), "address_parts": F.when(asked, F.col("address_parts"))})
     if register is not None and c.register:
         done = verify_units(done, register, parcels)
     if valuations is not None:
         done = price_against_models(done.drop("price_to_estimate_ratio"), valuations, c)
-    done = done.withColumn("enrichment_attempted", F.lit(True))
-    if not c.only_matched:
-        return done
-    return done.unionByName(df.where("not passed"), allowMissingColumns=True)
+    return done.withColumns({"address_parts": F.col("__parts"), "enrichment_attempted": F.when(asked, True)}).drop("__parts")
 
 
 def valuation_type() -> Column:

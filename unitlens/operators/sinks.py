@@ -12,9 +12,12 @@ from unitlens.operators.derive import display_line
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for written state; a fresh local one only where none is named, as in tests."""
+    """The folder the cluster names for written state. Only a local session without that setting gets its own: on a
+    cluster each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="unitlens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -67,12 +70,13 @@ class Store:
         commits = self._read(f"{self.root}/commits")
         return None if commits is None else commits.agg(F.max("batch_id")).first()[0]
 
-    def state(self, name: str) -> DataFrame | None:
-        batch = self.latest()
+    def state(self, name: str, batch: int | None = None) -> DataFrame | None:
+        """A state table as of ``batch``, else as of the last committed one."""
+        batch = self.latest() if batch is None else batch
         return None if batch is None else self._read(f"{self.root}/{name}/batch_id={batch}")
 
-    def log(self, name: str) -> DataFrame | None:
-        batch = self.latest()
+    def log(self, name: str, batch: int | None = None) -> DataFrame | None:
+        batch = self.latest() if batch is None else batch
         rows = None if batch is None else self._read(f"{self.root}/{name}")
         return None if rows is None else rows.where(F.col("batch_id") <= batch).drop("batch_id")
 

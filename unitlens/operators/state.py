@@ -89,6 +89,18 @@ def upsert_sightings(incoming: DataFrame, stored: DataFrame, run_ts: Column) ->
     return fold_sightings(stored.unionByName(new))
 
 
+def unit_history(history: DataFrame, *keys: str, key: str = "dedupe_key") -> DataFrame:
+    """The price changes of some units (of all without ``keys``), oldest first within a unit."""
+    rows = history.where(F.col(key).isin(*keys)) if keys else history
+    return rows.orderBy(key, "changed_at", "old_price", "new_price")
+
+
+def unit_sightings(sightings: DataFrame, *keys: str, key: str = "dedupe_key") -> DataFrame:
+    """The sightings of some units (of all without ``keys``), newest first within a unit."""
+    rows = sightings.where(F.col(key).isin(*keys)) if keys else sightings
+    return rows.orderBy(key, F.desc("last_seen_at"), "source_key")
+
+
 def fold_sightings(rows: DataFrame) -> DataFrame:
     at = F.struct("last_seen_at", "dedupe_key", "price", "url")
     return rows.groupBy("source_key").agg(

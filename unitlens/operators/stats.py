@@ -69,7 +69,7 @@ def detail_budget(candidates: DataFrame, budget: int = 40) -> DataFrame:
     return per.where(F.col("candidates") > budget).select("source", (F.col("candidates") - budget).alias("not_detailed"))
 
 
-def source_coverage(rows: DataFrame, sample: int | None = 10, order: str = "ingest_seq") -> DataFrame:
+def source_coverage(rows: DataFrame, sample: int | None = None, order: str = "ingest_seq") -> DataFrame:
     """How many rows of each source carry each critical field; of all rows when ``sample`` is None."""
     seen = first_per_source(rows, sample, order) if sample else rows
     kinds = dict(rows.dtypes)

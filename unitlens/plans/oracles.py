@@ -389,21 +389,21 @@ ORACLES = {
         CASE WHEN has THEN 'A,b,C' ELSE 'A,b' END AS amenities FROM e""",
 }
 
-_HOURS = f"""{_EVENTS}, hourly AS (SELECT unit_key, date_trunc('hour', ts) AS seen_at, min(price) AS price, CAST(count(*) AS INTEGER) AS n FROM ev GROUP BY 1, 2),
-closed AS (SELECT * FROM hourly WHERE seen_at + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+_INSTANTS = f"""{_EVENTS}, instants AS (SELECT unit_key, ts AS seen_at, min(price) AS price, CAST(count(*) AS INTEGER) AS n FROM ev GROUP BY 1, 2),
+closed AS (SELECT * FROM instants WHERE seen_at <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
 seen AS (SELECT unit_key, seen_at, price, CAST(sum(n) OVER w AS INTEGER) AS times_seen, row_number() OVER w AS rn,
     last_value(price IGNORE NULLS) OVER (PARTITION BY unit_key ORDER BY seen_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_price
     FROM closed WINDOW w AS (PARTITION BY unit_key ORDER BY seen_at)),
 told AS (SELECT *, CASE WHEN rn = 1 THEN 'new' WHEN price < old_price THEN 'price_drop' WHEN price > old_price THEN 'price_increase' ELSE 'unchanged' END AS event FROM seen)"""
 
 ORACLES.update({
-    "stream_changes": f"WITH {_HOURS} SELECT unit_key, seen_at, event, old_price, price, times_seen FROM told",
-    "stream_cooldown": f"""WITH RECURSIVE {_HOURS}, mat AS (SELECT unit_key, seen_at, event FROM told WHERE event = 'new'
+    "stream_changes": f"WITH {_INSTANTS} SELECT unit_key, seen_at, event, old_price, price, times_seen FROM told",
+    "stream_cooldown": f"""WITH RECURSIVE {_INSTANTS}, mat AS (SELECT unit_key, seen_at, event FROM told WHERE event = 'new'
           OR (event = 'price_drop' AND old_price - price >= 100 AND (old_price - price) / old_price::DOUBLE >= 0.02)),
         sent(unit_key, seen_at, event) AS (SELECT unit_key, min(seen_at), event FROM mat GROUP BY unit_key, event
           UNION ALL SELECT m.unit_key, m.seen_at, m.event FROM sent s, LATERAL (SELECT unit_key, event, min(mat.seen_at) AS seen_at FROM mat
             WHERE mat.unit_key = s.unit_key AND mat.event = s.event AND mat.seen_at >= s.seen_at + INTERVAL 24 HOUR GROUP BY 1, 2) m)
         SELECT unit_key, seen_at, event FROM sent""",
-    "stream_inactive": f"""WITH {_HOURS}, last AS (SELECT unit_key, max(seen_at) AS seen_at, max(times_seen) AS times_seen FROM told GROUP BY 1)
+    "stream_inactive": f"""WITH {_INSTANTS}, last AS (SELECT unit_key, max(seen_at) AS seen_at, max(times_seen) AS times_seen FROM told GROUP BY 1)
         SELECT unit_key, seen_at, times_seen FROM last WHERE seen_at + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 })

@@ -1,6 +1,7 @@
 """One pass: sightings in, snapshot, history, alerts and counts out.
 
-The plan is lazy up to three written tables, the keyed batch, the verdicts and the new snapshot, which are read several times.
+The plan is lazy up to the written tables, the keyed batch, its owners, the verdicts and the new snapshot, which are read
+several times.
 Reading them back ends the lineage, so a lost executor costs a scan and not a rerun.
 """
 
@@ -53,13 +54,16 @@ def keyed_batch(sightings: DataFrame, settings: PassSettings) -> DataFrame:
     return keyed.select(*SIGHTING_FIELDS, "ingest_seq", "dedupe_key", "source_key")
 
 
-def merged_batch(keyed: DataFrame, snapshot: DataFrame | None, seen: DataFrame | None) -> DataFrame:
-    """One row per unit with the stored unit it belongs to."""
+def resolved_batch(keyed: DataFrame, snapshot: DataFrame | None, seen: DataFrame | None) -> DataFrame:
+    """One row per unit of the batch with the stored unit it belongs to (``resolved_key``)."""
     units = derive.derive_identity(merge.merge_units(keyed))
     if snapshot is None:
         return units.withColumns({"resolved_key": F.col("dedupe_key"), "resolved_by": F.lit(None).cast("int")})
-    resolved = resolve.resolve_units(units, snapshot, seen)
-    # two units of the batch may belong to one stored unit
+    return resolve.resolve_units(units, snapshot, seen)
+
+
+def merged_batch(resolved: DataFrame) -> DataFrame:
+    """One row per stored unit: two units of the batch may belong to the same one."""
     return derive.derive_identity(merge.merge_units(resolved, "resolved_key"))
 
 
@@ -83,16 +87,23 @@ def judged_batch(units: DataFrame, settings: PassSettings, register=None, valuat
 
 
 def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: datetime, batch_id: int,
-             settings: PassSettings | None = None, register=None, valuations=None, parcels=None) -> DataFrame | None:
-    """Run one pass and commit it; returns its run row. A batch that is already committed is not run again."""
+             settings: PassSettings | None = None, register=None, valuations=None, parcels=None, health=None, errors=None,
+             notes: str | None = None) -> DataFrame | None:
+    """Run one pass and commit it; returns its run row. A batch that is already committed is not run again.
+
+    ``health`` (source, records, ok) and ``errors`` (source, seq, error) are told in the run row as JSON.
+    """
     s = settings or PassSettings()
     done = store.latest()
     if done is not None and done >= batch_id:
         return None
     now = F.lit(run_ts).cast("timestamp")
-    snapshot, seen = store.state("units"), store.state("sightings")
+    snapshot, seen = store.state("units", done), store.state("sightings", done)
+    if snapshot is not None:
+        snapshot = snapshot.drop(*state.CHANGE_COLUMNS, "expired")
     keyed = store.put("keyed", keyed_batch(sightings, s), batch_id)
-    units = merged_batch(keyed, snapshot, seen)
+    resolved = store.put("resolved", resolved_batch(keyed, snapshot, seen), batch_id)
+    units = merged_batch(resolved)
     judged = judged_batch(units, s, register, valuations, parcels).select(*UNIT_COLUMNS, "resolved_key", "failures")
     judged = store.put("judged", judged, batch_id)
 
@@ -101,11 +112,10 @@ def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: da
         life = "first_seen_at timestamp, last_seen_at timestamp, times_seen int, is_active boolean"
         snapshot = _empty_like(judged.select(*UNIT_COLUMNS), life)
     merged = state.expire_units(state.upsert_units(incoming, snapshot, now), now)
-    written = store.put("changes", merged, batch_id)
-    store.put("units", written.drop(*state.CHANGE_COLUMNS, "expired"), batch_id)
+    written = store.put("units", merged, batch_id)  # with the change columns, which the next pass drops
     changes = written.where("seen")
 
-    owners = judged.select("dedupe_key", F.col("resolved_key").alias("__unit"))
+    owners = resolved.select("dedupe_key", F.col("resolved_key").alias("__unit"))
     rows = keyed.join(owners, "dedupe_key", "left").withColumn("resolved_key", F.coalesce("__unit", "dedupe_key"))
     if seen is None:
         seen = spark.createDataFrame([], "source_key string, dedupe_key string, source string, source_id string, url string, "
@@ -115,22 +125,32 @@ def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: da
 
     flagged = changes.withColumns({"passed": F.col("matched"), "score": F.col("match_score"), "warnings": F.col("match_warnings")})
     events = alerts.alert_events(flagged, s.alerts)
-    log = store.log("alerts")
+    log = store.log("alerts", done)
     if log is not None:
         events = alerts.suppress_recent(events, log, now, s.alerts.cooldown_hours)
-    told = store.put("alert_events", alerts.top_alerts(events, s.alerts.max_alerts), batch_id)
+    # every event is stored; those within the cap have a rank and are told
+    ranked = store.put("alert_events", alerts.ranked_alerts(events, s.alerts.max_alerts), batch_id)
+    told = ranked.where("rank is not null")
     store.put("alerts", alerts.alert_log(told, s.channel, now), batch_id)
 
     gone = written.agg(F.count_if(F.col("expired")).alias("marked_inactive")).withColumn("started_at", now)
     counts = stats.run_summary(keyed, judged, flagged, told).withColumn("started_at", now)
-    run = store.put("runs", gone.join(counts, "started_at"), batch_id)
+    run = gone.join(counts, "started_at")
+    if health is not None:
+        none = spark.createDataFrame([], "source string, seq bigint, error string")
+        told_health = stats.health_json(health, errors if errors is not None else none).withColumn("started_at", now)
+        run = run.join(told_health, "started_at")
+    else:
+        run = run.withColumn("source_health", F.lit(None).cast("string"))
+    run = run.withColumns({"notes": F.lit(notes).cast("string"), "finished_at": F.current_timestamp()})
+    run = store.put("runs", run, batch_id)
     store.commit(batch_id)
     return run
 
 
 def alert_payloads(store: Store, batch_id: int, size: int = 10) -> DataFrame:
     """The messages of a batch, ready for a channel writer: one row per message."""
-    events = store.spark.read.parquet(f"{store.root}/alert_events/batch_id={batch_id}")
+    events = store.spark.read.parquet(f"{store.root}/alert_events/batch_id={batch_id}").where("rank is not null").drop("rank")
     told = alerts.other_sources(events, store.state("sightings"))
     told = standardize_addresses(told.select("*", *[f"enrichment.{f}" for f in enrich.ENRICHMENT_FIELDS]))
     content = alerts.alert_content(alerts.alert_chunks(told, size))

@@ -193,12 +193,18 @@ def _positive(doc: str, *paths: str) -> Column:
     return F.when(n > 0, F.bround(n).try_cast("int"))
 
 
+def _asked(pages: DataFrame) -> Column:
+    """The order in which answers count as given."""
+    have = [c for c in ("priority", "file") if c in pages.columns]
+    return F.struct(*have).alias("val_seq") if have else F.lit(0).alias("val_seq")
+
+
 def valuations_from_models(pages: DataFrame, address_key: str = "address_key") -> DataFrame:
     """Rent and value model answers; a page carries the address it was asked with."""
     comps = F.expr(f"coalesce(size({vt.items_of(vt.dig('doc', 'comparables'))}), 0)")
     is_rent = F.expr(vt.scalar_text("doc", "rent")).isNotNull()
     return pages.select(
-        F.lit("rentcast").alias("provider"), F.col(address_key).alias("address_key"),
+        F.lit("rentcast").alias("provider"), F.col(address_key).alias("address_key"), _asked(pages),
         _positive("doc", "rent").alias("rent"), _positive("doc", "rentRangeLow").alias("rent_low"),
         _positive("doc", "rentRangeHigh").alias("rent_high"), comps.alias("n_comps"),
         F.when(~is_rent, _positive("doc", "price")).alias("value"),
@@ -215,7 +221,7 @@ def valuations_from_components(pages: DataFrame, address_key: str = "address_key
         parts[name] = F.when(code.isNull() | (code == 0), F.expr(vt.dig("env", f"{member}.result.value")))
     staged = staged.withColumns(parts)
     return staged.select(
-        F.lit("housecanary").alias("provider"), F.col(address_key).alias("address_key"),
+        F.lit("housecanary").alias("provider"), F.col(address_key).alias("address_key"), _asked(pages),
         _positive("rental", "price", "value").alias("rent"),
         _positive("rental", "price_lower", "value_lower").alias("rent_low"),
         _positive("rental", "price_upper", "value_upper").alias("rent_high"), F.lit(0).alias("n_comps"),
@@ -226,8 +232,14 @@ def valuations_from_components(pages: DataFrame, address_key: str = "address_key
 # --- other scans --------------------------------------------------------------------------------------
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
-    """Hand-made sightings as JSON lines; unknown members are dropped."""
-    return spark.read.schema(SIGHTING_SCHEMA).option("multiLine", True).json(path)
+    """Hand-made sightings: one JSON document per file, an object or an array, or JSON lines; unknown members are dropped,
+    and so are lines that are no JSON object."""
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
+    lines = "filter(transform(split(value, '\\r?\\n'), x -> try_parse_json(x)), x -> x is not null)"
+    whole = "try_parse_json(value)"
+    records = f"if({whole} is not null, {vt.as_objects(whole)}, {lines})"
+    rows = files.select(F.explode(F.expr(records)).alias("item")).where("schema_of_variant(item) like 'OBJECT%'")
+    return rows.select(F.from_json(F.to_json("item"), SIGHTING_SCHEMA).alias("r")).select("r.*")
 
 
 def ranged_or_all(df: DataFrame, predicate: Column) -> tuple[DataFrame, str | None]:

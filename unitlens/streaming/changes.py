@@ -1,8 +1,8 @@
 """Price changes, cool-down and inactivity per unit as a keyed state over a stream.
 
-Sightings are first reduced to the lowest price per unit and hour with a windowed aggregate, which combines on
-the map side. The state then sees at most one row per unit and hour, so a unit with most of the sightings does not
-put its rows into one task.
+Sightings are first reduced to the lowest price per unit and instant with an aggregate, which combines on the map side.
+Its rows come out once the watermark has passed them, so the state sees the instants of a unit in order, each once, and
+every change between two instants counts.
 """
 
 from __future__ import annotations
@@ -10,20 +10,27 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "unit_key bigint, at_ms bigint, event string, old_price int, price int, times_seen int, alert boolean"
+OUTPUT = "unit_key bigint, at_us bigint, event string, old_price int, price int, times_seen int, alert boolean"
+NAMES = ("unit_key", "at_us", "event", "old_price", "price", "times_seen", "alert")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _events(columns: dict) -> pd.DataFrame:
+    prices = {c: pd.array(columns[c], dtype="Int32") for c in ("old_price", "price")}
+    return pd.DataFrame({**columns, **prices})
+
+
 class UnitProcessor(StatefulProcessor):
     """What is kept of a unit: last price, when it was last seen, how often, and when each kind was last told."""
 
     def __init__(self, cooldown_hours: int, inactive_hours: int, min_dollars: int, min_pct: float):
-        self.cooldown, self.inactive = cooldown_hours * 3_600_000, inactive_hours * 3_600_000
+        self.cooldown, self.inactive = cooldown_hours * 3_600_000_000, inactive_hours * 3_600_000_000
         self.min_dollars, self.min_pct = min_dollars, min_pct
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -40,47 +47,52 @@ class UnitProcessor(StatefulProcessor):
     def _is_material(self, old: int, new: int) -> bool:
         return old - new >= self.min_dollars and (old - new) / old >= self.min_pct
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         life = self.life.get() if self.life.exists() else None
-        for row in sorted(rows, key=lambda r: r["at_ms"]):
-            old, new, at = (life[0] if life else None), row["price"], row["at_ms"]
+        seen = pd.concat(rows).sort_values("at_us")
+        out = {c: [] for c in NAMES}
+        for at, new, n in zip(seen["at_us"].tolist(), seen["price"].astype("object").tolist(), seen["n"].tolist(), strict=True):
+            new = None if pd.isna(new) else int(new)
+            old = life[0] if life else None
             event, alert = "unchanged", False
             if life is None:
                 event, alert = "new", self._tell("new", at)
             elif old is not None and new is not None and new != old:
                 event = "price_drop" if new < old else "price_increase"
                 alert = event == "price_drop" and self._is_material(old, new) and self._tell(event, at)
-            life = (new if new is not None else old, at, (life[2] if life else 0) + row["n"])
-            yield Row(unit_key=key[0], at_ms=at, event=event, old_price=old, price=new, times_seen=life[2], alert=alert)
+            life = (new if new is not None else old, at, (life[2] if life else 0) + n)
+            for name, value in zip(NAMES, (key[0], at, event, old, new, life[2], alert), strict=True):
+                out[name].append(value)
         self.life.update(life)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(life[1] + self.inactive)
+        self.handle.registerTimer((life[1] + self.inactive) // 1000)  # timers are in milliseconds
+        yield _events(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         price, last_seen, times = self.life.get()
-        yield Row(unit_key=key[0], at_ms=last_seen, event="inactive", old_price=price, price=None, times_seen=times, alert=False)
+        yield _events({name: [value] for name, value in zip(
+            NAMES, (key[0], last_seen, "inactive", price, None, times, False), strict=True)})
 
     def close(self) -> None:
         pass
 
 
-def hourly_units(sightings: DataFrame, watermark: str, width: str) -> DataFrame:
-    """Re-delivered rows dropped, then the lowest price per unit and time window."""
+def unit_instants(sightings: DataFrame, watermark: str) -> DataFrame:
+    """Re-delivered rows dropped, then the lowest price per unit and instant."""
     fresh = sightings.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["source_key", "ts"])
-    hourly = fresh.groupBy(F.window("ts", width), "unit_key").agg(
-        F.min("price").alias("price"), F.count("*").cast("int").alias("n"))
-    return hourly.select("unit_key", "window", F.unix_millis("window.start").alias("at_ms"), "price", "n")
+    each = fresh.groupBy("ts", "unit_key").agg(F.min("price").alias("price"), F.count("*").cast("int").alias("n"))
+    return each.select("unit_key", "ts", F.unix_micros("ts").alias("at_us"), "price", "n")
 
 
-def unit_events(sightings: DataFrame, watermark: str = "1 hour", width: str = "1 hour", cooldown_hours: int = 24,
+def unit_events(sightings: DataFrame, watermark: str = "1 hour", cooldown_hours: int = 24,
                 inactive_hours: int = 72, min_dollars: int = 100, min_pct: float = 0.02) -> DataFrame:
     """Stream of new, price_drop, price_increase, unchanged and inactive events per unit.
 
     Needs unit_key, source_key, ts (timestamp) and price; the session must use the RocksDB state store.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
-    return hourly_units(sightings, watermark, width).groupBy("unit_key").transformWithState(
+    return unit_instants(sightings, watermark).groupBy("unit_key").transformWithStateInPandas(
         statefulProcessor=UnitProcessor(cooldown_hours, inactive_hours, min_dollars, min_pct),
         outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
@@ -99,4 +111,4 @@ def run_to_table(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(OUTPUT).parquet(path).withColumn("seen_at", F.timestamp_millis("at_ms")).drop("at_ms")
+    return spark.read.schema(OUTPUT).parquet(path).withColumn("seen_at", F.timestamp_micros("at_us")).drop("at_us")
