@@ -14,6 +14,9 @@ CHECKED = (
     "running_life", "sighting_state", "snapshot_merge", "inactive_units", "cooldown_suppress", "cooldown_as_of", "also_listed_on",
     "store_stats", "source_coverage", "source_coverage_sample", "coverage_gaps", "source_staleness", "health_json", "detail_budget",
     "first_per_source", "discover_arrays", "scattered_text", "truncation_notes", "source_health", "feed_titles", "stream_changes",
+    "scan_search_pages", "scan_structured_feed", "scan_feed", "scan_card_pages", "scan_canonical", "mapped_with_casts",
+    "scan_register_folios", "scan_register_parcels", "scan_property_records", "scan_valuations", "fallback_union",
+    "configured_health", "union_sightings", "ranged_scan",
 )
 
 

@@ -115,6 +115,21 @@ def staleness(health: DataFrame, criteria: FallbackCriteria | None = None) -> Da
     return totals.select("attempted", "failed", "records", reason.alias("reason")).withColumn("use_fallback", F.col("reason") != "")
 
 
+def skipped_sources(spark: SparkSession, health: DataFrame, configured) -> DataFrame:
+    """Health rows of the configured sources that were not tried."""
+    names = spark.createDataFrame([(n,) for n in configured], "source string")
+    return names.join(health.select("source"), "source", "left_anti").select(
+        "source", F.lit(0).cast("long").alias("records"), F.lit(True).alias("ok"), F.lit(True).alias("skipped"))
+
+
+def with_fallback(primary: DataFrame, fallback: DataFrame, health: DataFrame, criteria: FallbackCriteria | None = None) -> DataFrame:
+    """The sightings of a pass: the primary sources' and, where their health says so, the fallback's. The decision is
+    one row, joined to the fallback's rows; it does not come to the driver."""
+    decision = staleness(health, criteria).select(F.lit(1).alias("__on"), "use_fallback").where("use_fallback")
+    used = fallback.withColumn("__on", F.lit(1)).join(decision.select("__on"), "__on", "left_semi").drop("__on")
+    return primary.unionByName(used, allowMissingColumns=True)
+
+
 def health_json(health: DataFrame, errors: DataFrame) -> DataFrame:
     """Per-source health as one JSON text: count, ok and the first three errors. ``errors``: source, seq, error."""
     first = first_per_source(errors, 3, "seq").groupBy("source").agg(

@@ -59,20 +59,24 @@ def structured_feed_records(pages: DataFrame) -> DataFrame:
     return explode_records(pages, F.expr(f"coalesce({', '.join(vt.objects_in(a) for a in arrays)})"))
 
 
+def feed_items(bodies: DataFrame) -> DataFrame:
+    """(file, priority, pos, item) of feed bodies, RSS 1.0/RDF and 2.0 alike, in the order of the file. A body that is not
+    well-formed XML gives no items; see ``source_health`` for their count."""
+    broken = F.from_xml("body", "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})["broken"]
+    whole = bodies.where(broken.isNull())
+    items = F.regexp_extract_all("body", F.lit(r"(?s)<item\b.*?</item>"), 0)
+    return whole.select("priority", "file", F.posexplode(items).alias("pos", "xml")).select(
+        "priority", "file", "pos", F.from_xml("xml", FEED_SCHEMA).alias("item"))
+
+
 def read_feed(spark: SparkSession, path: str, scan_zip: str, priority: int = 0) -> DataFrame:
-    """RSS 1.0/RDF and 2.0 alike; a body that is not XML gives no rows."""
-    items = (
-        spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", True).schema(FEED_SCHEMA).load(path)
-    )
-    text = {c: F.btrim(F.col(f"`{c}`")) for c in ("title", "link", "description", "dc:date", "pubDate")}
+    """The items of landed feed files, with their places."""
+    items = feed_items(read_bodies(spark, path, "feed", priority))
+    text = {c: F.btrim(F.col(f"item.`{c}`")) for c in ("title", "link", "description", "dc:date", "pubDate")}
     return items.select(
         text["title"].alias("title"), text["link"].alias("link"), text["description"].alias("description"),
         F.coalesce(text["dc:date"], text["pubDate"]).alias("date"), F.lit(scan_zip).alias("scan_zip"),
-        F.struct(
-            F.lit(priority).alias("priority"), F.col("_metadata.file_path").alias("file"),
-            F.xxhash64("title", "link").alias("pos"),
-        ).alias("ingest_seq"),
+        F.struct("priority", "file", "pos").alias("ingest_seq"),
     ).where("coalesce(title, '') <> '' or coalesce(link, '') <> ''")
 
 
@@ -235,9 +239,10 @@ def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     """Hand-made sightings: one JSON document per file, an object or an array, or JSON lines; unknown members are dropped,
     and so are lines that are no JSON object."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-    lines = "filter(transform(split(value, '\\r?\\n'), x -> try_parse_json(x)), x -> x is not null)"
-    whole = "try_parse_json(value)"
-    records = f"if({whole} is not null, {vt.as_objects(whole)}, {lines})"
+    # the parser stops after the first document, so lines are told from one document by their first characters
+    lines = "filter(transform(split(value, '\\\\r?\\\\n'), x -> try_parse_json(x)), x -> x is not null)"
+    whole = vt.as_objects("try_parse_json(value)")
+    records = f"if(ltrim(value) like '[%' or size({lines}) = 0, {whole}, {lines})"
     rows = files.select(F.explode(F.expr(records)).alias("item")).where("schema_of_variant(item) like 'OBJECT%'")
     return rows.select(F.from_json(F.to_json("item"), SIGHTING_SCHEMA).alias("r")).select("r.*")
 
