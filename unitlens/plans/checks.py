@@ -238,7 +238,7 @@ def _priced(spark, d) -> DataFrame:
 
 def valuation_verdict(spark, d):
     return _priced(spark, d).select(
-        "o_orderkey", "rent_estimate", "rent_estimate_low", "rent_estimate_source", "value_estimate", "value_estimate_source",
+        "o_orderkey", "rent_estimate", "rent_estimate_low", "rent_estimate_high", "rent_estimate_source", "value_estimate", "value_estimate_source",
         "price_to_estimate_ratio", "price_verdict", "gross_yield_pct")
 
 
@@ -391,7 +391,7 @@ def source_coverage(spark, d):
 
 def source_coverage_sample(spark, d):
     rows = _portal_rows(spark, d).withColumn("ingest_seq", F.struct(*v.LINE_ORDER, "l_partkey"))
-    return stats.source_coverage(rows, sample=10).select("source", "sampled", "price", "url", "latitude")
+    return stats.source_coverage(rows, sample=10)
 
 
 def coverage_gaps(spark, d):
@@ -408,7 +408,7 @@ def source_staleness(spark, d):
 
 
 def health_json(spark, d):
-    errors = v.table(spark, d, "events").where("event_id % 4 = 0").select(
+    errors = v.table(spark, d, "events").select(
         F.col("event_type").alias("source"), F.col("event_id").alias("seq"), F.expr("concat('error ', event_id)").alias("error"))
     return stats.health_json(_health(spark, d), errors)
 
@@ -442,7 +442,7 @@ def scattered_text(spark, d):
 
 def truncation_notes(spark, d):
     pages = v.event_payloads(spark, d)
-    return landed.truncation_notes(pages, landed.aggregator_records(pages), "total").select("source", "file", "declared", "returned")
+    return landed.truncation_notes(pages, landed.aggregator_records(pages), "total")
 
 
 def source_health(spark, d):

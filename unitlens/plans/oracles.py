@@ -269,13 +269,14 @@ ORACLES = {
         SELECT street_key, folio FROM s JOIN p ON contains(addr, upper(street_key))""",
     "valuation_verdict": """WITH u AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 100) AS INTEGER) END AS price FROM orders),
         a AS (SELECT c_custkey, CAST(floor(c_acctbal) AS INTEGER) AS rent, CAST(floor(c_acctbal * 0.9::DOUBLE) AS INTEGER) AS low,
+              CAST(floor(c_acctbal * 1.1::DOUBLE) AS INTEGER) AS high,
               CASE WHEN c_custkey % 5 <> 0 THEN CAST(floor(c_acctbal * 200) AS INTEGER) END AS val FROM customer WHERE c_custkey % 3 <> 0),
         b AS (SELECT c_custkey, CAST(floor(c_acctbal) AS INTEGER) + 500 AS rent, CAST(floor(c_acctbal * 150) AS INTEGER) AS val FROM customer WHERE c_custkey % 2 = 0),
         x AS (SELECT o_orderkey, nullif(price, 0) AS price, CASE WHEN a.rent > 0 THEN a.rent WHEN b.rent > 0 THEN b.rent END AS rent,
-              CASE WHEN a.rent > 0 THEN a.low END AS low, CASE WHEN a.rent > 0 THEN 'rentcast' WHEN b.rent > 0 THEN 'housecanary' END AS rs,
+              CASE WHEN a.rent > 0 THEN a.low END AS low, CASE WHEN a.rent > 0 THEN a.high END AS high, CASE WHEN a.rent > 0 THEN 'rentcast' WHEN b.rent > 0 THEN 'housecanary' END AS rs,
               CASE WHEN a.val > 0 THEN a.val WHEN b.val > 0 THEN b.val END AS val, CASE WHEN a.val > 0 THEN 'rentcast' WHEN b.val > 0 THEN 'housecanary' END AS vs
               FROM u LEFT JOIN a ON o_custkey = a.c_custkey LEFT JOIN b ON o_custkey = b.c_custkey)
-        SELECT o_orderkey, rent AS rent_estimate, low AS rent_estimate_low, rs AS rent_estimate_source, val AS value_estimate, vs AS value_estimate_source,
+        SELECT o_orderkey, rent AS rent_estimate, low AS rent_estimate_low, high AS rent_estimate_high, rs AS rent_estimate_source, val AS value_estimate, vs AS value_estimate_source,
           floor(price / rent::DOUBLE * 1000 + 0.5) / 1000 AS price_to_estimate_ratio,
           CASE WHEN price / rent::DOUBLE >= 1.15::DOUBLE THEN 'above market' WHEN price / rent::DOUBLE <= 0.9::DOUBLE THEN 'below market'
                WHEN price / rent::DOUBLE IS NOT NULL THEN 'at market' END AS price_verdict,
@@ -345,10 +346,11 @@ ORACLES = {
         (SELECT count(*) FROM supplier) AS runs""",
     "source_coverage": f"WITH {_COVER} SELECT source, {_COVER_COUNTS} FROM rows GROUP BY source",
     "source_coverage_sample": f"""WITH {_COVER}, few AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY source ORDER BY {', '.join(v.LINE_ORDER)}, l_partkey) <= 10)
-        SELECT source, count(*) AS sampled, count(*) FILTER (WHERE price2 <> 0) AS price, count(url2) AS url, count(latitude) AS latitude FROM few GROUP BY source""",
-    "coverage_gaps": "SELECT * FROM (VALUES " + ", ".join(
-        f"('{s}', '{f}', '{fv.COVERAGE_CONSEQUENCES[f]}')" for s, f in (("portal_3", "url"), ("portal_3", "description"), ("portal_2", "price"))
-    ) + ") t(source, field, consequence)",
+        SELECT source, {_COVER_COUNTS} FROM few GROUP BY source""",
+    "coverage_gaps": f"""WITH {_COVER}, c AS (SELECT source, {_COVER_COUNTS} FROM rows GROUP BY source),
+        long AS (UNPIVOT c ON {', '.join(fv.COVERAGE_CONSEQUENCES)} INTO NAME field VALUE n)
+        SELECT source, field, CASE field {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in fv.COVERAGE_CONSEQUENCES.items())} END AS consequence
+        FROM long WHERE n = 0""",
     "source_staleness": """WITH h AS (SELECT event_type AS s, count(*) AS n, count(*) % 2 = 0 AS ok FROM events GROUP BY 1),
         a AS (SELECT count(*) AS attempted, count(*) FILTER (WHERE NOT ok) AS failed, CAST(sum(n) AS BIGINT) AS records,
               string_agg(s, ', ' ORDER BY s) FILTER (WHERE NOT ok) AS names FROM h),
@@ -356,7 +358,7 @@ ORACLES = {
               WHEN records < 5 THEN 'only ' || records || ' candidates from primary APIs (expected at least 5)' ELSE '' END AS reason FROM a)
         SELECT attempted, failed, records, reason, reason <> '' AS use_fallback FROM r""",
     "health_json": """WITH h AS (SELECT event_type AS s, count(*) AS n FROM events GROUP BY 1),
-        e AS (SELECT event_type AS s, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events WHERE event_id % 4 = 0),
+        e AS (SELECT event_type AS s, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
         f AS (SELECT s, string_agg('"error ' || event_id || '"', ',' ORDER BY event_id) AS errs FROM e WHERE rn <= 3 GROUP BY s)
         SELECT '{' || string_agg('"' || h.s || '":{"count":' || n || ',"ok":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"errors":['
           || coalesce(errs, '') || ']}', ',' ORDER BY h.s) || '}' AS source_health FROM h LEFT JOIN f ON h.s = f.s""",
@@ -369,9 +371,9 @@ ORACLES = {
         'Tag' || (event_id % 3) || CASE WHEN event_id % 3 <> event_id % 2 THEN ',tag' || (event_id % 2) ELSE '' END AS amenities, 'FL' AS state FROM r""",
     "discover_arrays": "SELECT event_id, 2 AS n, 'r' || event_id || 'b' AS second FROM events",
     "scattered_text": "SELECT event_id, 'r' || event_id || 'a . note ' || event_id || ' . r' || event_id || 'b' AS text FROM events",
-    "truncation_notes": "SELECT event_type AS source, 'page-' || event_id AS file, 5 AS declared, 2 AS returned FROM events WHERE event_id % 4 = 0",
+    "truncation_notes": "SELECT event_type AS source, 'page-' || event_id AS file, 5 AS declared, 2 AS returned, '5 listings matched but 2 returned' AS note FROM events WHERE event_id % 4 = 0",
     "source_health": """SELECT event_type AS source, count(*) AS pages, count(*) FILTER (WHERE event_id % 6 = 0) AS failed_pages,
-        2 * count(*) FILTER (WHERE event_id % 6 <> 0) AS records, true AS ok FROM events GROUP BY 1""",
+        2 * count(*) FILTER (WHERE event_id % 6 <> 0) AS records, count(*) FILTER (WHERE event_id % 6 = 0) = 0 AS ok FROM events GROUP BY 1""",
     "embedded_state": """SELECT page_id, unnest(range(0, 1 + page_id % 3)) AS pos, 'z' || page_id AS source_id, CAST(page_id + 5000 AS INTEGER) AS price,
         (page_id + 1) || ' Bay Rd' AS address FROM pages WHERE page_id % 4 <> 3""",
     "feed_titles": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(1000 + o_custkey AS INTEGER) END AS price,

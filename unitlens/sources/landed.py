@@ -265,9 +265,9 @@ def truncation_notes(pages: DataFrame, records: DataFrame, total_path: str) -> D
 
 
 def source_health(pages: DataFrame, records: DataFrame) -> DataFrame:
-    """Per source: pages read, pages that could not be parsed, records."""
+    """Per source: pages read, pages that could not be parsed, records; ``ok`` if every page could be."""
     by_page = pages.groupBy("source").agg(
         F.count("*").alias("pages"), F.count_if(F.col("doc").isNull()).alias("failed_pages"))
     by_record = records.groupBy("source").agg(F.count("*").alias("records"))
     joined = by_page.join(by_record, "source", "left").fillna(0, ["records"])
-    return joined.withColumn("ok", F.col("failed_pages") < F.col("pages"))
+    return joined.withColumn("ok", F.col("failed_pages") == 0)
