@@ -10,100 +10,106 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: White space other than space and line feed, in the widest sense: a text without any of it takes the short way.
 OTHER_SPACES = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \n])")
-_TAIL = re.compile(r"(.*[^\W\d_])([.,!]+)", re.S)
+_END = ".,!"
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: visible Latin-1 characters stand for themselves, the other bytes
+    for the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
 
 
 class _Known(dict):
-    """Ids by part; a part that is not there yet is encoded alone."""
+    """Ids by part. A part that is not there is learned; parts not used for long are dropped, ``keep`` at a time."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, learn, keep: int):
+        self.learn, self.keep, self.older = learn, keep, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.encode(part)
+        if len(self) >= self.keep:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.learn(part)
+        self[part] = ids
         return ids
 
 
 class Encoder:
     """``spaces=True`` for byte-level tokenizers, where a space belongs to the word after it; False for those that drop
-    white space. ``keep`` bounds the parts held; they are dropped together beyond it."""
+    white space. At most twice ``keep`` parts are held."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 800_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.spaces, self.keep = spaces, keep
+        self.merge = self.library.model.tokenize
+        self.spaces = spaces
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        #: A part that is cut off on either side and has one id of its own, to tell parts apart in a joined text.
-        self.mark = "\n" if spaces else " 7 "
-        self.mark_id = self._ids(self.mark)[0]
-        self.inner = _Known(lambda part: self._bytes(self._whole(part)))  # after a space or a line feed
-        self.outer = _Known(self._bytes)  # as it stands
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _bytes(self, text: str) -> bytes:
-        return np.asarray(self._ids(text), "<u4").tobytes()
-
-    def _whole(self, part: str) -> str:
-        return " " + part if self.spaces and part[:1] != "\n" else part
-
-    def _parts(self, text: str) -> tuple[str, list[str]] | list[str]:
+        self.inner = _Known(self._after_space, keep)  # parts that follow a space, without it, or that begin with a line feed
+        self.outer = _Known(self._exact, keep)  # parts as they stand
+
+    def _library(self, text: str) -> bytes:
+        return _as_bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str, space: bool) -> bytes | None:
+        """Latin letters only: one pretoken, which is what the merges see, so the library's model is asked directly."""
+        if not word.isalpha() or max(word) > "\xff":
+            return None
+        letters = (word if self.spaces else word.lower()).encode().decode("latin-1").translate(_LETTERS)
+        return _as_bytes([t.id for t in self.merge(_LETTERS[32] + letters if space else letters)])
+
+    def _exact(self, part: str) -> bytes:
+        core = part.rstrip(_END)
+        if core != part and core[-1:].isalpha():  # a letter and a mark are never in one pretoken
+            return self.outer[core] + self.outer[part[len(core):]]
+        ids = self._word(part, False)
+        return self._library(part) if ids is None else ids
+
+    def _after_space(self, part: str) -> bytes:
+        if not self.spaces:
+            return self.outer[part]
+        core = part.rstrip(_END)
+        if core != part and core[-1:].isalpha():
+            return self.inner[core] + self.outer[part[len(core):]]
+        if part[:1] == "\n":
+            return self.outer["\n"] + self.outer[part[1:]] if part[1:2].isalpha() else self._library(part)
+        ids = self._word(part, True)
+        return self._library(" " + part) if ids is None else ids
+
+    def _encode(self, text: str) -> bytes:
         if not self.spaces:
-            return "", text.replace("\n", " ").split(" ")
-        if ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER_SPACES)):
-            return _BEFORE_SPACE.split(text)
+            return b"".join(map(self.outer.__getitem__, text.replace("\n", " ").split(" ")))
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER_SPACES):
+            return b"".join(map(self.outer.__getitem__, _BEFORE_SPACE.split(text)))
         parts = text.replace("\n", " \n").split(" ")
-        return parts[0], parts[1:]
-
-    def _plain(self, part: str) -> bool:
-        return self.mark.strip(" ") not in part and not any(c in part for c in OTHER_SPACES)
-
-    def _learn_joined(self, parts: list[str], known: _Known, whole) -> None:
-        """Encode many parts in one call of the library and cut the ids at the mark."""
-        for at in range(0, len(parts), 4000):
-            some = parts[at:at + 4000]
-            ids = np.asarray(self._ids(self.mark.join(map(whole, some))), "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(some) - 1:
-                raise AssertionError(f"{len(some)} parts gave {len(ends) + 1}")
-            starts = [0, *(ends + 1)]
-            known.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, starts, [*ends, len(ids)], strict=True))
-
-    def _learn(self, parts: set[str]) -> None:
-        tails = {p: m for p in parts if (m := _TAIL.fullmatch(p))}
-        cores = (parts.difference(tails) | {m[1] for m in tails.values()}).difference(self.inner)
-        bare = [p for p in cores if self.spaces and p[:1] == "\n" and len(p) > 1 and self._plain(p[1:])]
-        spaced = [p for p in cores if p and self._plain(p)]
-        if bare:
-            line = self.outer["\n"]
-            held = _Known(self._bytes)
-            self._learn_joined([p[1:] for p in bare], held, str)
-            self.inner.update((p, line + held[p[1:]]) for p in bare)
-        if spaced:
-            self._learn_joined(spaced, self.inner, self._whole)
-        for p, m in tails.items():
-            self.inner[p] = self.inner[m[1]] + self.outer[m[2]]
+        first = parts.pop(0)
+        return self.outer[first] + b"".join(map(self.inner.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.inner) > self.keep:
-            self.inner.clear()
-        if len(self.outer) > self.keep:
-            self.outer.clear()
-        cut = [self._parts(t) for t in texts]
-        self._learn(set().union(*(c[1] for c in cut if isinstance(c, tuple))).difference(self.inner))
-        return [self.outer[c[0]] + b"".join(map(self.inner.__getitem__, c[1])) if isinstance(c, tuple)
-                else b"".join(map(self.outer.__getitem__, c)) for c in cut]
+        return [self._encode(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
