@@ -58,7 +58,7 @@ class Encoder:
     """``spaces=True`` for byte-level tokenizers, where a space belongs to the word after it; False for those that drop
     white space. At most twice ``keep`` parts are held."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 600_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
