@@ -88,7 +88,7 @@ def standardize_addresses(
         F.filter(F.transform(F.split(_text(F.col(address)), ","), lambda s: F.btrim(s)), lambda s: s != ""),
     ).withColumns({
         # what stands after the first comma, and for a line without one, what stands at its end
-        "__a_locs": F.when(F.size(a["segs"]) > 1, F.transform(F.slice(a["segs"], 2, 100000), _peel)),
+        "__a_locs": F.when(F.size(a["segs"]) > 1, F.transform(F.slice(a["segs"], F.lit(2), F.size(a["segs"])), _peel)),
         "__a_tail": F.when(no_comma, _peel(F.get(a["segs"], 0))),
     }).withColumn(
         "__a_line",

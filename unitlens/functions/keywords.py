@@ -63,19 +63,25 @@ def scan_keywords(df: DataFrame, text: str, keywords, out: str = "keyword_scan",
     return settle(staged.withColumn(out, scan).drop("__scan_blob", "__scan_states"), out)
 
 
+def _present(blob: Column, phrases) -> Column:
+    return F.array_compact(F.array(*[F.when(blob.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases]))
+
+
 def find_phrases(blob: Column, phrases) -> Column:
     """The phrases present in a text in match form, in list order."""
-    cases = [F.when(blob.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases]
-    return F.when(blob.rlike(phrase_pattern(*phrases)), F.array_compact(F.array(*cases)))
+    return F.when(blob.rlike(phrase_pattern(*phrases)), _present(blob, phrases))
 
 
 def category_map(blob: Column, categories: dict) -> Column:
     """category -> phrases found, for a text in match form; categories without a find are left out."""
     entries = [
-        F.when(blob.rlike(phrase_pattern(*phrases)), F.struct(F.lit(name).alias("k"), find_phrases(blob, phrases).alias("v")))
+        F.when(blob.rlike(phrase_pattern(*phrases)), F.struct(F.lit(name).alias("k"), _present(blob, phrases).alias("v")))
         for name, phrases in categories.items()
     ]
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+    # one search for all phrases spares most texts the searches by category
+    every = phrase_pattern(*[p for phrases in categories.values() for p in phrases])
+    none = F.array().cast("array<struct<k:string,v:array<string>>>")
+    return F.map_from_entries(F.when(blob.rlike(every), F.array_compact(F.array(*entries))).otherwise(none))
 
 
 def tag_categories(df: DataFrame, text: str, categories: dict, out: str = "amenity_matches") -> DataFrame:

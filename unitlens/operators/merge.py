@@ -47,12 +47,13 @@ def merge_units(df: DataFrame, key: str = "dedupe_key", order_by: tuple = ("inge
 
 def list_items(df: DataFrame, key: str, order: Column, names) -> DataFrame:
     """The distinct items of the list fields per unit, long: field, item and where it was first seen."""
-    items = None
-    for name in names:
-        part = df.where(F.size(name) > 0).select(
-            F.col(key), F.lit(name).alias("field"), order.alias("ord"), F.posexplode(name).alias("idx", "item"))
-        part = part.withColumn("same_as", LIST_FIELDS[name](F.col("item")))
-        items = part if items is None else items.unionByName(part)
+    empty = F.array().cast("array<string>")
+
+    def entries(name: str) -> Column:  # one pass over the input for all fields
+        return F.transform(F.coalesce(name, empty), lambda x, i: F.struct(
+            F.lit(name).alias("field"), i.alias("idx"), x.alias("item"), LIST_FIELDS[name](x).alias("same_as")))
+
+    items = df.select(F.col(key), order.alias("ord"), F.inline(F.concat(*[entries(n) for n in names])))
     first = F.min(F.struct("ord", "idx", "item")).alias("first")
     return items.where("coalesce(item, '') <> ''").groupBy(key, "field", "same_as").agg(first)
 
