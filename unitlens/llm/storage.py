@@ -20,9 +20,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+    """Write ``df`` to the shared folder and read it back.
+
+    The shuffle files behind it are of no more use, but Spark deletes them only when the driver collects its garbage, by
+    default every 30 minutes; a job of many written steps would fill the executors' disks with them. So it is told to.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
