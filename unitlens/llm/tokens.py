@@ -58,7 +58,7 @@ class Encoder:
     """``spaces=True`` for byte-level tokenizers, where a space belongs to the word after it; False for those that drop
     white space. At most twice ``keep`` parts are held."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 200_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,9 +75,13 @@ class Encoder:
 
     def _word(self, word: str, space: bool) -> bytes | None:
         """Latin letters only: one pretoken, which is what the merges see, so the library's model is asked directly."""
-        if not word.isalpha() or max(word) > "\xff":
+        if not word.isalpha():
             return None
-        letters = (word if self.spaces else word.lower()).encode().decode("latin-1").translate(_LETTERS)
+        letters = word if self.spaces else word.lower()
+        if not word.isascii():
+            if max(word) > "\xff":
+                return None
+            letters = letters.encode().decode("latin-1").translate(_LETTERS)
         return _as_bytes([t.id for t in self.merge(_LETTERS[32] + letters if space else letters)])
 
     def _exact(self, part: str) -> bytes:
