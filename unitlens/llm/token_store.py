@@ -1,10 +1,12 @@
 """Token ids on disk: one zstandard frame per document, a shared dictionary, an offset index.
 
-A store is a folder with two tables, written and read by Spark, so any file system that Spark reaches will do:
+A store is a folder with three tables, written and read by Spark, so any file system that Spark reaches will do:
 
 * ``dictionary``: one row (hash, width, bytes). The dictionary is trained on the serialized ids of a bounded sample.
-* ``blocks``: rows (part, block, dictionary, first_id, last_id, doc_ids, n_tokens, ends, frames). ``frames`` holds the
-  frames of consecutive documents, ``ends`` where each ends. Parts and blocks are in ascending order of doc_id.
+* ``blocks``: rows (part, block, before, dictionary, first_id, last_id, doc_ids, n_tokens, ends, frames). ``frames`` holds
+  the frames of consecutive documents, ``ends`` where each ends, ``before`` the number of ids in the part's blocks
+  before it. Parts and blocks are in ascending order of doc_id.
+* ``parts``: rows (part, start), one per written part: the number of ids in all parts before it.
 
 Ids are serialized as little-endian unsigned integers of ``width`` bytes: 2 where the vocabulary allows it, else 4.
 """
@@ -24,7 +26,7 @@ from unitlens.llm.storage import with_columns
 from unitlens.llm.tokens import Encoder, encoder
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 65_536, 65_536
-BLOCK_BYTES, LEVEL, BATCH = 1 << 20, 3, 256
+BLOCK_BYTES, LEVEL, BATCH = 1 << 20, 1, 256
 
 
 def _serialize(ids: bytes, width: int) -> bytes:
@@ -61,7 +63,7 @@ def _blocks(tokenizer: str, spaces: bool, end: int, name: str, width: int, held:
         shared = zstandard.ZstdCompressionDict(held) if held else None
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
         encode, tail = encoder(tokenizer, spaces).encode, np.asarray([end], "<u4").tobytes()
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         sizes: list[int] = []
         ends: list[int] = []
@@ -70,9 +72,9 @@ def _blocks(tokenizer: str, spaces: bool, end: int, name: str, width: int, held:
 
         def row():
             return pa.RecordBatch.from_pydict(
-                {"part": [part], "block": [block], "dictionary": [name], "first_id": keys[:1], "last_id": keys[-1:],
+                {"part": [part], "block": [block], "before": [before], "dictionary": [name], "first_id": keys[:1], "last_id": keys[-1:],
                  "doc_ids": [keys], "n_tokens": [sizes], "ends": [ends], "frames": [b"".join(frames)]},
-                schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("dictionary", pa.string()),
+                schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("before", pa.int64()), ("dictionary", pa.string()),
                                   ("first_id", kind), ("last_id", kind), ("doc_ids", pa.list_(kind)),
                                   ("n_tokens", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
                                   ("frames", pa.binary())]))
@@ -89,7 +91,7 @@ def _blocks(tokenizer: str, spaces: bool, end: int, name: str, width: int, held:
                     ends.append((ends[-1] if ends else 0) + len(frames[-1]))
                     if ends[-1] >= BLOCK_BYTES:
                         yield row()
-                        block += 1
+                        block, before = block + 1, before + sum(sizes)
                         keys, sizes, ends, frames = [], [], [], []
         if keys:
             yield row()
@@ -112,8 +114,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, spaces: bool = False, end:
         .sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(
         _blocks(tokenizer, spaces, end, name, width, held),
-        f"part long, block long, dictionary string, first_id {key}, last_id {key}, doc_ids array<{key}>, "
+        f"part long, block long, before long, dictionary string, first_id {key}, last_id {key}, doc_ids array<{key}>, "
         "n_tokens array<long>, ends array<long>, frames binary").write.parquet(f"{path}/blocks")
+    sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(
+        F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per written part
+    sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")).write.parquet(f"{path}/parts")
 
 
 def read(spark: SparkSession, path: str, only: list | None = None) -> DataFrame:
@@ -125,13 +131,6 @@ def read(spark: SparkSession, path: str, only: list | None = None) -> DataFrame:
     if hashlib.sha256(held).hexdigest() != name:
         raise ValueError(f"the dictionary of {path} does not have the hash {name}")
     blocks = spark.read.parquet(f"{path}/blocks")
-    sizes = blocks.select("part", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per written part
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("n", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
-        parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "part",
-    ).select("part", "block", (F.col("n") + F.col("ahead")).alias("start"))
     key = blocks.schema["first_id"].dataType.simpleString()
     wanted = None if only is None else set(only)
     if wanted is not None:
@@ -146,7 +145,7 @@ def read(spark: SparkSession, path: str, only: list | None = None) -> DataFrame:
                 if r["dictionary"] != name:
                     raise ValueError(f"a block was written with the dictionary {r['dictionary']}")
                 out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
-                start, begin, frames = r["start"], 0, memoryview(r["frames"])
+                start, begin, frames = r["start"] + r["before"], 0, memoryview(r["frames"])
                 for doc, n, stop in zip(r["doc_ids"], r["n_tokens"], r["ends"], strict=True):
                     if wanted is None or doc in wanted:
                         ids = np.frombuffer(expand(frames[begin:stop]), f"<u{width}").astype("<u4").tobytes()
@@ -157,5 +156,5 @@ def read(spark: SparkSession, path: str, only: list | None = None) -> DataFrame:
                     ("doc_id", batch.schema.field("first_id").type), ("start", pa.int64()), ("n_tokens", pa.int64()),
                     ("ids", pa.binary())]))
 
-    return blocks.join(starts, ["part", "block"]).mapInArrow(
+    return blocks.join(spark.read.parquet(f"{path}/parts"), "part").mapInArrow(
         documents, f"doc_id {key}, start long, n_tokens long, ids binary")
