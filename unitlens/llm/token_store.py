@@ -26,7 +26,7 @@ from unitlens.llm.storage import with_columns
 from unitlens.llm.tokens import Encoder, encoder
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 65_536, 65_536
-BLOCK_BYTES, LEVEL, BATCH = 1 << 20, 1, 256
+BLOCK_BYTES, LEVEL, BATCH, KEEP_WORDS = 1 << 20, 1, 256, 350_000
 
 
 def _serialize(ids: bytes, width: int) -> bytes:
@@ -43,7 +43,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaces: bool, end: int) ->
     width, tail = (2 if own.size <= 1 << 16 else 4), np.asarray([end], "<u4").tobytes()
 
     def arrays(batches):
-        encode = encoder(tokenizer, spaces).encode
+        encode = encoder(tokenizer, spaces, KEEP_WORDS).encode
         for batch in batches:
             some = [_serialize(i + tail, width) for i in encode([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_pydict({"ids": [s for s in some if len(s) <= SAMPLE_BYTES]},
@@ -62,7 +62,7 @@ def _blocks(tokenizer: str, spaces: bool, end: int, name: str, width: int, held:
     def run(batches):
         shared = zstandard.ZstdCompressionDict(held) if held else None
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
-        encode, tail = encoder(tokenizer, spaces).encode, np.asarray([end], "<u4").tobytes()
+        encode, tail = encoder(tokenizer, spaces, KEEP_WORDS).encode, np.asarray([end], "<u4").tobytes()
         part, block, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         sizes: list[int] = []

@@ -58,7 +58,7 @@ class Encoder:
     """``spaces=True`` for byte-level tokenizers, where a space belongs to the word after it; False for those that drop
     white space. At most twice ``keep`` parts are held."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 350_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,8 +119,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, keep: int = 200_000) -> Encoder:
     """The encoder of this Python worker."""
     if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = Encoder(path, spaces)
+        _ENCODERS[path, spaces] = Encoder(path, spaces, keep)
     return _ENCODERS[path, spaces]
