@@ -80,3 +80,21 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_documents_that_share_an_id_or_have_none_are_judged_each(spark, tmp_path):
+    rng = random.Random(5)
+    text = ["\n".join(" ".join("".join(rng.choices("abcdefghijklmno", k=7)) for _ in range(20)) for _ in range(6)) for _ in range(5)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, text[0], "en"), (None, "too short", "en"), (5, text[1], "en"), (5, "short too", "en"), (None, text[2], None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], SCHEMA)
+    good = stage(0)(spark, docs, str(tmp_path))
+    assert good.columns == docs.columns
+    assert sorted(r.text for r in good.collect()) == sorted(text[:3])
+
+    rows = [(3, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[2] + " "), (6, text[3]), (6, text[4]), (4, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    unique = stage(3)(spark, docs, "")
+    assert unique.columns == docs.columns
+    got = {(r.doc_id, r.text.strip()) for r in unique.collect()}
+    assert unique.count() == 5 and got == {(3, text[0]), (None, text[1]), (None, text[2]), (6, text[3]), (4, text[4])}

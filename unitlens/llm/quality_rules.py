@@ -121,8 +121,8 @@ def cutoffs(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, limit: f
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",
-          rules: dict = RULES, alpha: float = ALPHA, limit: float = LIMIT) -> DataFrame:
-    """Features, base_failed and kept for every row of ``docs``.
+          rules: dict = RULES, alpha: float = ALPHA, limit: float = LIMIT, keep: tuple = ()) -> DataFrame:
+    """Features, base_failed and kept for every row of ``docs``, with the columns ``keep``.
 
     ``labels`` has ``doc_id`` and ``quality``; quality 1 is good, other values and null are not used. Repeated labels
     count once, a document is good if any of its labels says so. A null stratum is a stratum of its own. Repeated
@@ -130,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     with_columns(docs, doc_id, text, stratum)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                       F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("")).alias("stratum"))
+                       F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("")).alias("stratum"), *keep)
     facts = saved(features(slim).withColumn("base_failed", base_failed()), "rule-features")
     marked = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     good = facts.where("not base_failed").join(marked, "doc_id", "left_semi")
