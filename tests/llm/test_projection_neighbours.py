@@ -74,3 +74,24 @@ def test_edges(spark):
     assert near.near_duplicates(docs.where("false")).collect() == []
     alone = near.near_duplicates(docs.where("vec_id = 4")).first()
     assert (alone.n_links, alone.component_id, alone.kept) == (0, 4, True)
+
+
+def test_pairs_in_a_cone(spark):
+    """Vectors about one direction share most signs: what tells them apart has to be measured."""
+    rng = np.random.default_rng(2)
+    centre = np.zeros(64)
+    centre[0] = 1.0
+
+    def some(n):
+        v = rng.standard_normal((n, 64))
+        v[:, 0] = 0
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    base = np.sqrt(0.9) * centre + np.sqrt(0.1) * some(700)
+    aside = some(200)
+    aside -= (aside * base[:200]).sum(axis=1, keepdims=True) * base[:200]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    twins = 0.9805 * base[:200] + np.sqrt(1 - 0.9805**2) * aside
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, twins]))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=4).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))

@@ -6,8 +6,9 @@ reach the threshold are links; a window hands on a spanning forest of its links,
 groups. The links of all passes are united into components.
 
 A pair at the threshold disagrees on one sign with probability angle / pi, so it meets in one pass with about
-(1 - angle / pi) ** bits, with the bits that it takes to tell a label's vectors apart but for a window. The number of
-passes follows from that and ``MISS``, for any number of vectors.
+(1 - angle / pi) ** bits, with the bits that it takes to tell a label's vectors apart but for a window. Vectors spread
+evenly take the logarithm of their number, those in a cone more. So every pass measures each vector's bits, and passes
+go on until, by what was measured, no label misses more than ``MISS`` of its pairs at the threshold.
 
 Windows are bounded, so they need not see all links inside a group that is larger than a window. Links are therefore
 counted afterwards inside each component, by comparing its vectors in blocks; only counts leave a block. Equal vectors
@@ -47,6 +48,21 @@ def passes(most: int, threshold: float = THRESHOLD, window: int = WINDOW, miss:
     return max(2, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
+def log_misses(keys: np.ndarray, vectors: np.ndarray, threshold: float, window: int, usual: float) -> np.ndarray:
+    """For each of the sorted unit ``vectors`` the logarithm of the probability that this pass misses a partner at the
+    threshold: those that share one bit more with it than the vectors ``window`` places off are all in its windows.
+    Vectors linked with one so far off are in a group that windows chain together; for them ``usual`` bits count."""
+    bits = np.full(len(keys), min(usual, BITS))
+    if len(keys) > window:
+        shared = BITS - np.frexp((keys[window:] ^ keys[:-window]).astype("f8"))[1]
+        shared = np.where(np.einsum("ij,ij->i", vectors[window:], vectors[:-window]) >= threshold, -1, shared)
+        more = np.full(len(keys), -1)
+        more[window:] = shared
+        more[:-window] = np.maximum(more[:-window], shared)
+        bits = np.where(more >= 0, np.minimum(more + 1, BITS), bits)
+    return np.log1p(-np.minimum((1 - math.acos(threshold) / math.pi) ** bits, 1 - 1e-9))
+
+
 def sort_keys(vectors: np.ndarray, number: int) -> np.ndarray:
     """The signs of ``BITS`` random projections of pass ``number``, the first one weighing most."""
     planes = np.random.default_rng([number, vectors.shape[1]]).standard_normal((vectors.shape[1], BITS))
@@ -90,8 +106,8 @@ def window_links(vectors: np.ndarray, nodes: np.ndarray, threshold: float, windo
             yield forest(linked, nodes[at:at + 2 * window])
 
 
-def _one_pass(nodes: DataFrame, number: int, threshold: float, window: int) -> DataFrame:
-    """(a, b) links of one pass."""
+def _one_pass(nodes: DataFrame, number: int, threshold: float, window: int, usual: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links of one pass, and (node, miss) as ``log_misses`` measures it."""
 
     def keyed(batches):
         for batch in batches:
@@ -106,26 +122,28 @@ def _one_pass(nodes: DataFrame, number: int, threshold: float, window: int) -> D
     def compare(batches):
         part = TaskContext.get().partitionId()
         tail = None  # (group, width, vectors, nodes) of the last rows
-        edge_schema = [("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("label_group", pa.int64())]
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("label_group", pa.int64()),
+                            ("unit", pa.list_(pa.float64())), ("miss", pa.float64())])
 
-        def links(a, b):
+        def rows(n, **columns):
             return pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()),
-                 pa.nulls(len(a), pa.list_(pa.float64()))], schema=pa.schema([*edge_schema, ("unit", pa.list_(pa.float64()))]))
+                [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def links(a, b):
+            return rows(len(a), a=a, b=b)
 
         def border(number, group, vectors, ids):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array([number] * len(ids), pa.int64()),
-                 pa.array([group] * len(ids), pa.int64()), pa.array(list(vectors), pa.list_(pa.float64()))],
-                schema=pa.schema([*edge_schema, ("unit", pa.list_(pa.float64()))]))
+            return rows(len(ids), a=ids, border=[number] * len(ids), label_group=[group] * len(ids), unit=list(vectors))
 
         head_left = window
         for batch in batches:
             group = batch.column(1).to_numpy(zero_copy_only=False)
             width = batch.column(3).to_numpy(zero_copy_only=False)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(4).to_numpy(zero_copy_only=False)
             for a, b in _runs(group, width):
                 vectors, own = unit(_matrix(batch.column(2), a, b)), ids[a:b]
+                yield rows(b - a, a=own, miss=log_misses(keys[a:b], vectors, threshold, window, usual))
                 if head_left:
                     yield border(part - 1, group[a], vectors[:head_left], own[:head_left])
                     head_left -= min(head_left, b - a)
@@ -152,10 +170,18 @@ def _one_pass(nodes: DataFrame, number: int, threshold: float, window: int) -> D
     ordered = slim.mapInArrow(keyed, StructType([*slim.schema, StructField("sort_key", LongType())])) \
         .repartitionByRange("label_group", "width", "sort_key", "node") \
         .sortWithinPartitions("label_group", "width", "sort_key", "node") \
-        .select("node", "label_group", "embedding", "width")
-    out = saved(ordered.mapInArrow(compare, "a long, b long, border long, label_group long, unit array<double>"), "pass")
+        .select("node", "label_group", "embedding", "width", "sort_key")
+    out = saved(ordered.mapInArrow(compare, "a long, b long, border long, label_group long, unit array<double>, miss double"), "pass")
     inner = out.where("b is not null").select("a", "b")
-    return inner.unionByName(out.where("border is not null").groupBy("border").applyInPandas(across, "a long, b long"))
+    links = inner.unionByName(out.where("border is not null").select("a", "border", "label_group", "unit")
+                              .groupBy("border").applyInPandas(across, "a long, b long"))
+    return links, out.where("miss is not null").select(F.col("a").alias("node"), "miss")
+
+
+def _worst(nodes: DataFrame, missed: DataFrame) -> float:
+    """The greatest share of pairs at the threshold that a label misses, from the sums (node, miss) of all passes."""
+    return nodes.select("node", "label_group", "width").join(missed, "node").groupBy("label_group", "width") \
+        .agg(F.avg(F.exp("miss")).alias("m")).agg(F.max("m")).first()[0] or 0.0
 
 
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -204,10 +230,18 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         .select("*", F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("width"),
                 F.xxhash64("label").alias("label_group")), "vectors")
     most = grouped.groupBy("label_group", "width").count().agg(F.max("count")).first()[0] or 0
-    found = None
-    for number in range(passes(most, threshold, window, miss) if most > 1 else 0):
-        links = _one_pass(grouped, number, threshold, window)
+    found, missed, number = None, None, 0
+    least, usual = passes(most, threshold, window, miss) if most > 1 else 0, max(0.0, math.log2(max(1, most) / window)) + 2
+    while number < least:
+        links, misses = _one_pass(grouped, number, threshold, window, usual)
         found = links if found is None else found.unionByName(links)
+        missed = misses if missed is None else missed.unionByName(misses)
+        number += 1
+        if number == least and most > window:
+            missed = saved(missed.groupBy("node").agg(F.sum("miss").alias("miss")), "misses")
+            worst = _worst(grouped, missed)
+            if worst > miss:  # as many more as the passes so far let expect, then measured again
+                least += max(1, math.ceil(number * (math.log(miss) / math.log(min(worst, 0.99)) - 1)))
     if found is None:
         found = grouped.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     roots = connected_components(found)
