@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from unitlens.llm import (
     golay_simhash,
+    kneser_ney,
     language_id,
     line_dedup,
     packing,
@@ -86,6 +87,13 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.bucket("doc_id", 5) == 1
+    model = kneser_ney.fit(docs.where(~held_out))
+    return kneser_ney.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -97,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_piece_counts": op9_piece_counts,
     "op10_golay_simhash": op10_golay_simhash,
+    "op11_kneser_ney": op11_kneser_ney,
 }
