@@ -72,3 +72,75 @@ from judged"""
 
 
 ORACLES: dict[str, str] = {"op8_quality_rules": op8()}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: eight shifts a byte by the reflected polynomial."""
+    shifts = "list_reduce([{0}] || range(8), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)"
+    byte = "xor(c, ascii(substr({0}, i::int, 1))::bigint)".format(text)
+    return f"xor(list_reduce([4294967295::bigint] || range(1, length({text}) + 1), lambda c, i: {shifts.format(byte)}), 4294967295)"
+
+
+def op12() -> str:
+    """Left to right over the turns, a state at a time, with the least (cost, audit) and what it rebuilds."""
+    return rf"""
+with recursive
+  known as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+           coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key, coalesce('=' || conv_id, '') as c
+    from conversations),
+  hit as (select *, {_crc32("key")} % 20 as h from known),
+  rows as (
+    select c, turn, case h when 4 then 'user' else role end as role,
+           case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+           unnest(range(case h when 3 then 2 else 1 end)) as copy
+    from hit where h <> 0),
+  placed as (
+    select *, row_number() over (partition by c order by turn nulls first, role, text, copy) as i,
+           row_number() over (partition by c, role, text order by turn nulls first, copy) as seen,
+           regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+    from rows),
+  judged as (
+    select *, left(role, 1) as initial,
+           case when last = '' then 'b' when seen > 1 then 'd' when last not in ('.', '!', '?') then 't' else '' end as fault,
+           lag(left(role, 1)) over (partition by c order by i) as before
+    from placed),
+  counts as (
+    select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+           count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+           count(*) filter (before || initial not in ('su', 'ua', 'au')) as illegal
+    from judged group by c),
+  inserts(p, q, cost, edit, made) as (values
+    (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+    (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:'])),
+  steps(p, q, role) as (values (0, 1, 'system'), (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+  path(c, i, q, cost, audit, made) as (
+    select distinct c, 0::bigint, inserts.q, inserts.cost, inserts.edit, inserts.made from judged, inserts where inserts.p = 0
+    union all
+    select c, i, q, b.cost, b.audit, b.made from (
+      select x.c, x.i, y.q, min({{'cost': x.cost + y.cost, 'audit': x.audit || y.edit, 'made': list_concat(x.made, y.made)}}) as b
+      from (
+        select path.c, judged.i, s.q, path.cost + s.cost as cost, path.audit || s.edit as audit,
+               case s.edit when 'D' then path.made when 'K' then list_append(path.made, judged.role || ':' || judged.text)
+                    else list_append(path.made, s.role || ':' || judged.text) end as made
+        from path join judged on judged.c = path.c and judged.i = path.i + 1
+        join lateral (
+          select path.q as q, 3 as cost, 'D' as edit, '' as role
+          union all select steps.q, (judged.fault = 't')::int, 'K', '' from steps
+            where steps.p = path.q and judged.initial = left(steps.role, 1) and judged.fault in ('', 't')
+          union all select steps.q, 2 + (judged.fault = 't')::int, 'R', steps.role from steps
+            where steps.p = path.q and steps.role <> 'system' and judged.fault in ('', 't')) s on true) x
+      join inserts y on y.p = x.q
+      group by x.c, x.i, y.q)),
+  ends as (
+    select path.c, min({{'cost': path.cost, 'audit': path.audit, 'made': path.made}}) as b
+    from path join (select c, max(i) as n from judged group by c) t on t.c = path.c and path.i = t.n
+    where path.q in (0, 3) group by path.c)
+select distinct k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+       coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+       coalesce(b.cost, 0)::bigint as cost, coalesce(b.audit, '') as audit,
+       sha256(coalesce(array_to_string(b.made, chr(10)), '')) as repaired_sha256
+from known k left join counts on counts.c = k.c left join ends on ends.c = k.c"""
+
+
+ORACLES["op12_conversation_repair"] = op12()
