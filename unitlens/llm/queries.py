@@ -17,12 +17,13 @@ from unitlens.llm import (
     packing,
     piece_counts,
     piece_viterbi,
+    prefix_trie,
     projection_neighbours,
     quality_model,
     quality_rules,
     token_store,
 )
-from unitlens.llm.storage import shared_path, table
+from unitlens.llm.storage import saved, shared_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(turns), turns)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, lengths = prefix_trie.regrafted(saved(prefix_trie.placed(table(spark, sf_dir, "conversations")), "placed"))
+    return prefix_trie.trie(turns, lengths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -113,4 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_golay_simhash": op10_golay_simhash,
     "op11_kneser_ney": op11_kneser_ney,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -144,3 +144,44 @@ from known k left join counts on counts.c = k.c left join ends on ends.c = k.c""
 
 
 ORACLES["op12_conversation_repair"] = op12()
+
+
+def op13() -> str:
+    """Nodes by their whole paths; what is below a node by all its descendants' paths."""
+    return f"""
+with
+  known as (
+    select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+    from conversations where conv_id is not null),
+  own as (select c, count(*) as n from known group by c),
+  keyed as (select c, n, c - c % 100 as b, c::varchar as key from own),
+  convs as (
+    select k.c, k.n, k.b, {_crc32("key")} % 6 as h, coalesce(own.n, 0) as there from keyed k left join own on own.c = k.b),
+  turns as (
+    select convs.c, i as d, role, text from convs join known on known.c = convs.b and i <= h
+    union all
+    select convs.c, least(h, there) + i - h, role, text from convs join known on known.c = convs.c and i > h),
+  paths as (
+    select c, d, length(text) as chars,
+           string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by c order by d) as path
+    from turns
+    union all select c, 0, 0, '' from convs),
+  nodes as (select d, path, min(c) as c, count(*) as n_convs, (count(*) - 1) * max(chars) as own from paths group by d, path),
+  above as (
+    select n.c, n.d, n.own, n.n_convs, n.path, p.d as pd, p.path as ppath from nodes n join paths p on p.c = n.c and p.d <= n.d),
+  parents as (select a.c, a.d, m.c as parent_conv_id from above a join nodes m on m.d = a.pd and m.path = a.ppath where a.pd = a.d - 1),
+  children as (select parent_conv_id as c, d - 1 as d, count(*) as n_children from parents group by all),
+  sums as (
+    select a.pd as d, a.ppath as path, sum(a.own) as saved_tokens, count(*) filter (k.n_children is null) as n_leaves
+    from above a left join children k on k.c = a.c and k.d = a.d group by all),
+  ends as (
+    select d, path, string_agg(c::varchar, ',' order by c) as ids
+    from (select *, max(d) over (partition by c) as last from paths) where d = last group by d, path)
+select n.c as conv_id, n.d::bigint as depth, parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves::bigint as n_leaves,
+       saved_tokens::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from nodes n left join parents p on p.c = n.c and p.d = n.d left join children k on k.c = n.c and k.d = n.d
+join sums on sums.d = n.d and sums.path = n.path left join ends on ends.d = n.d and ends.path = n.path"""
+
+
+ORACLES["op13_prefix_trie"] = op13()
