@@ -1,12 +1,14 @@
-"""Sinks: exports and versioned tables. Versions are whole and written once, so a lost executor or a repeated
-batch leaves no half state."""
+"""Sinks: exports and versioned tables. What a batch writes is written once and counts when the batch is committed, so a lost
+executor, a failed or a repeated batch leaves no half state."""
 
 from __future__ import annotations
 
 import tempfile
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from unitlens.operators.derive import display_line
 
@@ -41,21 +43,27 @@ def export_rows(units: DataFrame) -> DataFrame:
 def write_export(units: DataFrame, path: str) -> None:
     """CSV with a header or JSON lines, by the ending of ``path``. Without rows a CSV holds the lone header
     ``address``."""
-    rows = export_rows(units)
+    rows, counted = export_rows(units), Observation()
     if not path.lower().endswith(".csv"):
         rows.write.mode("overwrite").json(path)
-    elif rows.isEmpty():
+        return
+    rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    if not counted.get["n"]:
         units.sparkSession.createDataFrame([("address",)], "value string").write.mode("overwrite").text(path)
-    else:
-        rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 class Store:
-    """Tables under one folder. State tables have whole versions, logs have one part per batch; a batch counts
-    once its row stands in ``commits``."""
+    """Tables under one folder. A batch counts once its row stands in ``commits``: what batches wrote that failed before is
+    read by no one.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    * A log has one part per batch.
+    * A state table is cut into ``buckets`` by the hash of its key. A batch writes the buckets it touches; its commit row says
+      which batch wrote each bucket last, so untouched buckets keep their files and are not read to be merged.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._written: dict[str, tuple[list[int], dict[int, int]]] = {}
 
     def _read(self, path: str) -> DataFrame | None:
         try:
@@ -65,20 +73,38 @@ class Store:
                 return None
             raise
 
+    def committed(self) -> DataFrame | None:
+        """The batches that count: (batch_id, at, versions, oldest)."""
+        return self._read(f"{self.root}/commits")
+
+    def _last(self, batch: int | None = None) -> Row | None:
+        """The last commit, or the last one up to ``batch``. One row comes to the driver."""
+        commits = self.committed()
+        if commits is None:
+            return None
+        return (commits if batch is None else commits.where(F.col("batch_id") <= batch)).orderBy(F.desc("batch_id")).first()
+
     def latest(self) -> int | None:
-        """The last committed batch. One row comes to the driver."""
-        commits = self._read(f"{self.root}/commits")
-        return None if commits is None else commits.agg(F.max("batch_id")).first()[0]
+        """The last committed batch."""
+        last = self._last()
+        return None if last is None else last["batch_id"]
 
-    def state(self, name: str, batch: int | None = None) -> DataFrame | None:
-        """A state table as of ``batch``, else as of the last committed one."""
-        batch = self.latest() if batch is None else batch
-        return None if batch is None else self._read(f"{self.root}/{name}/batch_id={batch}")
+    # --- logs ---
 
     def log(self, name: str, batch: int | None = None) -> DataFrame | None:
-        batch = self.latest() if batch is None else batch
-        rows = None if batch is None else self._read(f"{self.root}/{name}")
-        return None if rows is None else rows.where(F.col("batch_id") <= batch).drop("batch_id")
+        """The rows of all committed batches up to ``batch``, with their batch_id."""
+        commits, rows = self.committed(), self._read(f"{self.root}/{name}")
+        if commits is None or rows is None:
+            return None
+        mine = commits.select(F.col("batch_id").cast(rows.schema["batch_id"].dataType).alias("batch_id"))
+        return rows.join(mine if batch is None else mine.where(F.col("batch_id") <= batch), "batch_id", "left_semi")
+
+    def part(self, name: str, batch_id: int) -> DataFrame | None:
+        """What one batch wrote, if it is committed."""
+        commits = self.committed()
+        if commits is None or commits.where(F.col("batch_id") == batch_id).isEmpty():
+            return None
+        return self._read(f"{self.root}/{name}/batch_id={batch_id}")
 
     def put(self, name: str, df: DataFrame, batch_id: int) -> DataFrame:
         """Write this batch's part and read it back: the lineage ends here. Writing it again replaces it."""
@@ -86,6 +112,56 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    # --- states ---
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def state(self, name: str, batch: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """A state table as of the last commit up to ``batch``; of it only ``buckets``, where named."""
+        last = self._last(batch)
+        versions = (last["versions"].get(name) if last else None) or []
+        paths = [f"{self.root}/{name}/batch_id={version}/bucket={b}" for b, version in enumerate(versions)
+                 if version >= 0 and (buckets is None or b in buckets)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def of_key(self, name: str, key: str, value) -> DataFrame | None:
+        """The rows of a state table with one key: one bucket is read."""
+        bucket = self.spark.range(1).select(self._bucket(F.lit(value))).first()[0]
+        rows = self.state(name, buckets=[bucket])
+        return None if rows is None else rows.where(F.col(key) == value)
+
+    def touched(self, keys: DataFrame, name: str, since: datetime | None = None) -> list[int]:
+        """The buckets that hold one of ``keys`` (one column), or a row older than ``since`` by the age it was written with."""
+        mine = {r[0] for r in keys.toDF("key").select(self._bucket(F.col("key"))).distinct().collect()}  # at most ``buckets`` rows
+        last = self._last()
+        if since is not None and last is not None:
+            limit = self.spark.range(1).select(F.unix_micros(F.lit(since).cast("timestamp"))).first()[0]
+            mine |= {b for b, age in (last["oldest"].get(name) or {}).items() if age < limit}
+        return sorted(mine)
+
+    def put_state(self, name: str, df: DataFrame, batch_id: int, key: str, age: Column | None = None) -> DataFrame:
+        """Write the buckets that hold rows of ``df``, which must be whole, and read them back. ``age`` is a timestamp; the
+        oldest of a bucket goes to the commit row."""
+        path = f"{self.root}/{name}/batch_id={batch_id}"
+        df.withColumn("bucket", self._bucket(F.col(key))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows = self.spark.read.schema(StructType([*df.schema.fields, StructField("bucket", IntegerType())])).parquet(path)
+        found = rows.groupBy("bucket").agg(F.min(F.unix_micros(F.lit(None).cast("timestamp") if age is None else age))).collect()
+        self._written[name] = ([b for b, _ in found], {b: oldest for b, oldest in found if oldest is not None})
+        return rows.drop("bucket")
+
     def commit(self, batch_id: int) -> None:
-        row = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("at"))
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/part={batch_id}")
+        """From here on the batch counts."""
+        last = self._last()
+        versions = dict(last["versions"]) if last else {}
+        oldest = dict(last["oldest"]) if last else {}
+        for name, (mine, ages) in self._written.items():
+            now = list(versions.get(name) or [-1] * self.buckets)
+            for b in mine:
+                now[b] = batch_id
+            versions[name] = now
+            oldest[name] = {b: age for b, age in (oldest.get(name) or {}).items() if b not in mine} | ages
+        row = self.spark.createDataFrame([(batch_id, versions, oldest)],
+                                         "batch_id bigint, versions map<string,array<bigint>>, oldest map<string,map<int,bigint>>")
+        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/part={batch_id}")
+        self._written = {}

@@ -1,18 +1,20 @@
 """One pass: sightings in, snapshot, history, alerts and counts out.
 
-The plan is lazy up to the written tables, the keyed batch, its owners, the verdicts and the new snapshot, which are read
+The plan is lazy up to the written tables, the keyed batch, its owners, the verdicts and the touched units, which are read
 several times.
 Reading them back ends the lineage, so a lost executor costs a scan and not a rerun.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitlens import fixed_values as fv
 from unitlens.criteria import AlertCriteria, EnrichmentCriteria, SearchCriteria
 from unitlens.functions import geo
 from unitlens.functions.address import standardize_addresses
@@ -88,19 +90,19 @@ def judged_batch(units: DataFrame, settings: PassSettings, register=None, valuat
 
 def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: datetime, batch_id: int,
              settings: PassSettings | None = None, register=None, valuations=None, parcels=None, health=None, errors=None,
-             notes: str | None = None) -> DataFrame | None:
+             notes: str | None = None, before_commit: Callable[[Store, int], None] | None = None) -> DataFrame | None:
     """Run one pass and commit it; returns its run row. A batch that is already committed is not run again.
 
-    ``health`` (source, records, ok) and ``errors`` (source, seq, error) are told in the run row as JSON.
+    The buckets of the stored units and sightings that hold a unit or sighting of the batch, or a unit that expires now,
+    are merged and written; the others keep their files. ``health`` (source, records, ok) and ``errors`` (source, seq, error) are
+    told in the run row as JSON. ``before_commit`` may look at what the batch wrote and raise, so that it does not count.
     """
     s = settings or PassSettings()
     done = store.latest()
     if done is not None and done >= batch_id:
         return None
     now = F.lit(run_ts).cast("timestamp")
-    snapshot, seen = store.state("units", done), store.state("sightings", done)
-    if snapshot is not None:
-        snapshot = snapshot.drop(*state.CHANGE_COLUMNS, "expired")
+    snapshot, seen = stored_units(store, done), store.state("sightings", done)
     keyed = store.put("keyed", keyed_batch(sightings, s), batch_id)
     resolved = store.put("resolved", resolved_batch(keyed, snapshot, seen), batch_id)
     units = merged_batch(resolved)
@@ -108,24 +110,28 @@ def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: da
     judged = store.put("judged", judged, batch_id)
 
     incoming = judged.drop("failures")
+    mine = store.touched(incoming.select(F.coalesce("resolved_key", "dedupe_key")), "units",
+                         run_ts - timedelta(hours=fv.INACTIVE_AFTER_HOURS))
+    snapshot = stored_units(store, done, mine)
     if snapshot is None:
         life = "first_seen_at timestamp, last_seen_at timestamp, times_seen int, is_active boolean"
         snapshot = _empty_like(judged.select(*UNIT_COLUMNS), life)
     merged = state.expire_units(state.upsert_units(incoming, snapshot, now), now)
-    written = store.put("units", merged, batch_id)  # with the change columns, which the next pass drops
+    written = store.put_state("units", merged, batch_id, "dedupe_key", F.when(F.col("is_active"), F.col("last_seen_at")))
     changes = written.where("seen")
 
     owners = resolved.select("dedupe_key", F.col("resolved_key").alias("__unit"))
     rows = keyed.join(owners, "dedupe_key", "left").withColumn("resolved_key", F.coalesce("__unit", "dedupe_key"))
+    seen = store.state("sightings", done, store.touched(rows.select("source_key"), "sightings"))
     if seen is None:
         seen = spark.createDataFrame([], "source_key string, dedupe_key string, source string, source_id string, url string, "
                                          "price int, first_seen_at timestamp, last_seen_at timestamp")
-    sightings_now = store.put("sightings", state.upsert_sightings(rows, seen, now), batch_id)
+    store.put_state("sightings", state.upsert_sightings(rows, seen, now), batch_id, "source_key")
     store.put("price_history", state.history_rows(changes, now), batch_id)
 
     flagged = changes.withColumns({"passed": F.col("matched"), "score": F.col("match_score"), "warnings": F.col("match_warnings")})
     events = alerts.alert_events(flagged, s.alerts)
-    log = store.log("alerts", done)
+    log = store.log("alerts")
     if log is not None:
         events = alerts.suppress_recent(events, log, now, s.alerts.cooldown_hours)
     # every event is stored; those within the cap have a rank and are told
@@ -144,13 +150,30 @@ def run_pass(spark: SparkSession, store: Store, sightings: DataFrame, run_ts: da
         run = run.withColumn("source_health", F.lit(None).cast("string"))
     run = run.withColumns({"notes": F.lit(notes).cast("string"), "finished_at": F.current_timestamp()})
     run = store.put("runs", run, batch_id)
+    if before_commit:
+        before_commit(store, batch_id)
     store.commit(batch_id)
     return run
 
 
+def stored_units(store: Store, batch: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The stored units, without what the batches that wrote them changed."""
+    units = store.state("units", batch, buckets)
+    return None if units is None else units.drop(*state.CHANGE_COLUMNS, "expired")
+
+
+def unit_changes(store: Store, batch_id: int) -> DataFrame | None:
+    """The units that a committed batch saw or marked inactive, with what changed."""
+    units = store.part("units", batch_id)
+    return None if units is None else units.where("seen or expired").drop("bucket")
+
+
 def alert_payloads(store: Store, batch_id: int, size: int = 10) -> DataFrame:
     """The messages of a batch, ready for a channel writer: one row per message."""
-    events = store.spark.read.parquet(f"{store.root}/alert_events/batch_id={batch_id}").where("rank is not null").drop("rank")
+    events = store.part("alert_events", batch_id)
+    if events is None:
+        raise ValueError(f"batch {batch_id} is not committed")
+    events = events.where("rank is not null").drop("rank")
     told = alerts.other_sources(events, store.state("sightings"))
     told = standardize_addresses(told.select("*", *[f"enrichment.{f}" for f in enrich.ENRICHMENT_FIELDS]))
     content = alerts.alert_content(alerts.alert_chunks(told, size))
