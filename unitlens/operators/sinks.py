@@ -112,6 +112,18 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def filed(self, name: str) -> DataFrame | None:
+        """What was put beside the batches, whether they are committed or not: ``failures``, ``failed_rows``, ``landed_again``."""
+        return self._read(f"{self.root}/{name}")
+
+    def delivered(self, batch_id: int, error: str | None) -> None:
+        """Record that a committed batch was handed on, or what kept it from that."""
+        self.put("deliveries", self.spark.createDataFrame([(error is None, error)], "ok boolean, error string"), batch_id)
+
+    def deliveries(self) -> DataFrame | None:
+        """(batch_id, ok, error) of each committed batch that was tried, the last try."""
+        return self.filed("deliveries")
+
     # --- states ---
 
     def _bucket(self, key: Column) -> Column:

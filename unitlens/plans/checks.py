@@ -511,17 +511,19 @@ QUERIES = {
 
 # --- streams -----------------------------------------------------------------------------------------------
 
-def _unit_stream(spark, d) -> DataFrame:
-    schema = v.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+def _event_stream(spark, d) -> DataFrame:
+    return spark.readStream.schema(v.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _unit_stream(events) -> DataFrame:
     return events.select(
         F.col("user_id").alias("unit_key"), F.concat_ws(":", "event_type", "event_id").alias("source_key"),
         F.col("ts").cast("timestamp").alias("ts"), F.expr("if(event_id % 13 = 0, null, cast(floor(value * 100) as int))").alias("price"))
 
 
-def _streamed(spark, d) -> DataFrame:
+def _streamed(spark, d, stream=None, **more) -> DataFrame:
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = changes.unit_events(_unit_stream(spark, d), inactive_hours=8)
+    events = changes.unit_events(_unit_stream(_event_stream(spark, d) if stream is None else stream), inactive_hours=8, **more)
     return changes.run_to_table(events, f"{folder}/out", f"{folder}/state").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
 
@@ -537,6 +539,34 @@ def stream_inactive(spark, d):
     return _streamed(spark, d).where("event = 'inactive'").select("unit_key", "seen_at", "times_seen")
 
 
+def stream_sends(spark, d):
+    """What is told when only successful sends count: every fifth event row is the outcome of a send, two of three succeed,
+    and the log from before the stream holds a send for every fourth unit, half of them successful. The watermark is that of
+    the slower of the two streams."""
+    outcomes = _event_stream(spark, d).where("event_id % 5 = 0").select(
+        F.col("user_id").alias("unit_key"), F.col("ts").cast("timestamp").alias("ts"),
+        F.expr("if(event_id % 2 = 0, 'new', 'price_drop')").alias("kind"), F.expr("event_id % 3 <> 0").alias("ok"))
+    log = v.table(spark, d, "events").where("user_id % 4 = 0").groupBy(F.col("user_id").alias("unit_key")).agg(
+        (F.min("ts") - F.expr("interval 30 minutes")).alias("sent_at")).select(
+        "unit_key", F.lit("new").alias("kind"), "sent_at", F.expr("unit_key % 8 = 0").alias("ok"))
+    return _streamed(spark, d, outcomes=outcomes, log=log).where("alert").select("unit_key", "seen_at", "event")
+
+
+def stream_redelivered(spark, d):
+    """The events land in three files, each with all rows of the one before; a micro-batch reads one file."""
+    landing = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    events = v.table(spark, d, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * k / 3 for k in (1, 2)] + [high]
+    for k, cut in enumerate(cuts):
+        since = cuts[k - 2] if k == 2 else None
+        rows = events.where(F.col("ts") <= F.lit(cut)) if since is None else events.where(F.col("ts") > F.lit(since)).unionByName(
+            events.where(F.col("ts") <= F.lit(cuts[1])))
+        rows.coalesce(1).write.mode("append").parquet(landing)  # one file is one delivery
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return _streamed(spark, d, stream).where("event <> 'inactive'").select("unit_key", "seen_at", "event", "old_price", "price", "times_seen")
+
+
 def full_pass(spark, d):
     """Two passes over order units split by key: the second sees lower prices for some."""
     rows = v.order_units(spark, d).withColumn("city", F.lit("Surfside"))
@@ -557,5 +587,6 @@ def full_pass(spark, d):
 
 QUERIES.update({
     "stream_changes": stream_changes, "stream_cooldown": stream_cooldown, "stream_inactive": stream_inactive,
+    "stream_sends": stream_sends, "stream_redelivered": stream_redelivered,
     "full_pass": full_pass,
 })

@@ -409,3 +409,14 @@ ORACLES.update({
     "stream_inactive": f"""WITH {_INSTANTS}, last AS (SELECT unit_key, max(seen_at) AS seen_at, max(times_seen) AS times_seen FROM told GROUP BY 1)
         SELECT unit_key, seen_at, times_seen FROM last WHERE seen_at + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 })
+ORACLES.update({
+    "stream_redelivered": ORACLES["stream_changes"],
+    "stream_sends": f"""WITH {_INSTANTS}, mat AS (SELECT unit_key, seen_at, event FROM told WHERE event = 'new'
+          OR (event = 'price_drop' AND old_price - price >= 100 AND (old_price - price) / old_price::DOUBLE >= 0.02)),
+        sent AS (SELECT user_id AS unit_key, ts, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'price_drop' END AS kind FROM events
+            WHERE event_id % 5 = 0 AND event_id % 3 <> 0
+          UNION ALL SELECT user_id, min(ts) - INTERVAL 30 MINUTE, 'new' FROM events WHERE user_id % 8 = 0 GROUP BY user_id)
+        SELECT unit_key, seen_at, event FROM mat m WHERE seen_at <= (SELECT max(ts) FROM events WHERE event_id % 5 = 0) - INTERVAL 1 HOUR
+          AND NOT EXISTS (SELECT 1 FROM sent s WHERE s.unit_key = m.unit_key AND s.kind = m.event
+            AND s.ts < m.seen_at AND m.seen_at < s.ts + INTERVAL 24 HOUR)""",
+})

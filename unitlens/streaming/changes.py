@@ -27,11 +27,15 @@ def _events(columns: dict) -> pd.DataFrame:
 
 
 class UnitProcessor(StatefulProcessor):
-    """What is kept of a unit: last price, when it was last seen, how often, and when each kind was last told."""
+    """What is kept of a unit: last price, when it was last seen, how often, and when each kind was last told.
 
-    def __init__(self, cooldown_hours: int, inactive_hours: int, min_dollars: int, min_pct: float):
+    Rows with a ``kind`` are outcomes of sends: a successful one starts the cool-down of its kind. Without a stream of
+    outcomes (``trusting``) an event counts as told when it is emitted.
+    """
+
+    def __init__(self, cooldown_hours: int, inactive_hours: int, min_dollars: int, min_pct: float, trusting: bool = True):
         self.cooldown, self.inactive = cooldown_hours * 3_600_000_000, inactive_hours * 3_600_000_000
-        self.min_dollars, self.min_pct = min_dollars, min_pct
+        self.min_dollars, self.min_pct, self.trusting = min_dollars, min_pct, trusting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -41,17 +45,30 @@ class UnitProcessor(StatefulProcessor):
     def _tell(self, kind: str, at: int) -> bool:
         if self.told.containsKey((kind,)) and at - self.told.getValue((kind,))[0] < self.cooldown:
             return False
-        self.told.updateValue((kind,), (at,))
+        if self.trusting:
+            self.told.updateValue((kind,), (at,))
         return True
 
+    def _sent(self, kind: str, at: int) -> None:
+        if not self.told.containsKey((kind,)) or at > self.told.getValue((kind,))[0]:
+            self.told.updateValue((kind,), (at,))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for kind, at in zip(initialState["kind"].tolist(), initialState["at_us"].tolist(), strict=True):
+            self._sent(kind, at)
+
     def _is_material(self, old: int, new: int) -> bool:
         return old - new >= self.min_dollars and (old - new) / old >= self.min_pct
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         life = self.life.get() if self.life.exists() else None
-        seen = pd.concat(rows).sort_values("at_us")
+        seen = pd.concat(rows).sort_values(["at_us", "kind"])  # at one instant sightings, of no kind, come before outcomes
         out = {c: [] for c in NAMES}
-        for at, new, n in zip(seen["at_us"].tolist(), seen["price"].astype("object").tolist(), seen["n"].tolist(), strict=True):
+        for at, kind, new, n, ok in zip(*(seen[c].astype("object").tolist() for c in ("at_us", "kind", "price", "n", "ok")), strict=True):
+            if kind:
+                if ok:
+                    self._sent(kind, at)
+                continue
             new = None if pd.isna(new) else int(new)
             old = life[0] if life else None
             event, alert = "unchanged", False
@@ -63,6 +80,8 @@ class UnitProcessor(StatefulProcessor):
             life = (new if new is not None else old, at, (life[2] if life else 0) + n)
             for name, value in zip(NAMES, (key[0], at, event, old, new, life[2], alert), strict=True):
                 out[name].append(value)
+        if not out["at_us"]:
+            return
         self.life.update(life)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -78,23 +97,35 @@ class UnitProcessor(StatefulProcessor):
         pass
 
 
-def unit_instants(sightings: DataFrame, watermark: str) -> DataFrame:
-    """Re-delivered rows dropped, then the lowest price per unit and instant."""
+def unit_instants(sightings: DataFrame, watermark: str, outcomes: DataFrame | None = None) -> DataFrame:
+    """Re-delivered rows dropped, then the lowest price per unit and instant. Outcomes go the same way, so that the watermark
+    holds both back alike and the state sees them in order."""
     fresh = sightings.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["source_key", "ts"])
-    each = fresh.groupBy("ts", "unit_key").agg(F.min("price").alias("price"), F.count("*").cast("int").alias("n"))
-    return each.select("unit_key", "ts", F.unix_micros("ts").alias("at_us"), "price", "n")
+    rows = fresh.select("ts", "unit_key", F.lit("").alias("kind"), F.col("price").cast("int").alias("price"), F.lit(False).alias("ok"))
+    if outcomes is not None:
+        rows = rows.unionByName(outcomes.withWatermark("ts", watermark).select(
+            "ts", "unit_key", "kind", F.lit(None).cast("int").alias("price"), F.coalesce("ok", F.lit(False)).alias("ok")))
+    each = rows.groupBy("ts", "unit_key", "kind").agg(F.min("price").alias("price"), F.count("*").cast("int").alias("n"), F.max("ok").alias("ok"))
+    return each.select("unit_key", "ts", F.unix_micros("ts").alias("at_us"), "kind", "price", "n", "ok")
 
 
-def unit_events(sightings: DataFrame, watermark: str = "1 hour", cooldown_hours: int = 24,
-                inactive_hours: int = 72, min_dollars: int = 100, min_pct: float = 0.02) -> DataFrame:
+def unit_events(sightings: DataFrame, watermark: str = "1 hour", cooldown_hours: int = 24, inactive_hours: int = 72,
+                min_dollars: int = 100, min_pct: float = 0.02, outcomes: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """Stream of new, price_drop, price_increase, unchanged and inactive events per unit.
 
     Needs unit_key, source_key, ts (timestamp) and price; the session must use the RocksDB state store.
+
+    ``outcomes`` is a stream (unit_key, ts, kind, ok) of what became of the alerts: only a send that succeeded within the
+    cool-down keeps an event of its kind from being told, so an alert whose send failed is told again. ``log`` is a table
+    (unit_key, kind, sent_at, ok) of sends from before the stream: the state of a new query begins with it, so that a
+    restart without its checkpoint keeps the cool-down.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
-    return unit_instants(sightings, watermark).groupBy("unit_key").transformWithStateInPandas(
-        statefulProcessor=UnitProcessor(cooldown_hours, inactive_hours, min_dollars, min_pct),
-        outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    before = None if log is None else log.where("ok").groupBy("unit_key", "kind").agg(
+        F.max(F.unix_micros(F.col("sent_at").cast("timestamp"))).alias("at_us")).groupBy("unit_key")
+    return unit_instants(sightings, watermark, outcomes).groupBy("unit_key").transformWithStateInPandas(
+        statefulProcessor=UnitProcessor(cooldown_hours, inactive_hours, min_dollars, min_pct, outcomes is None),
+        outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime", initialState=before)
 
 
 def run_to_table(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
