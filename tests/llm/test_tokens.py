@@ -17,8 +17,6 @@ from unitlens.llm.tokens import Encoder
 FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 ENCODERS = {name: Encoder(public_tokenizers.path(name), spaces) for name, spaces in FILES.items()}
 LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in FILES}
-for t in LIBRARY.values():
-    t.encode_special_tokens = True
 ODD = ["", " ", "\n", "a  b", "a   b", "\n\n x", "a\n\n\nb", " a", "a ", "it's, don't. 'll 's", "7 7 77 a7 7.", "a\t \tb\tc",
        "Ünï çödé, ß.", "é ́x", "<|endoftext|> x<|endoftext|>", " a  b", "a   b", "x\u0085 y\x1c z",
        "日本語 テスト", "word," * 30 + " " + "x" * 3000, "a.b.c. d,e, f.,!", "\n7\n7", "Ａ７ ７", "ǅ ﬁ İ", "a\r\nb\r\n\r\nc"]

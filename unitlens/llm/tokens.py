@@ -2,7 +2,8 @@
 
 Both kinds of tokenizer cut a text by a pattern before they merge, and never join characters across the place
 between a visible character and a following space or line feed. So a text can be cut there, each part encoded once
-by the library, and the ids put side by side; that gives the ids of the whole text. Ids are little-endian unsigned
+by the library, and the ids put side by side; that gives the ids of the whole text. Special tokens hold no white space, so
+their strings in a text are found in its parts, as the library does by default. Ids are little-endian unsigned
 32-bit in bytes, so a text's ids are one ``join``.
 """
 
@@ -63,7 +64,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.merge = self.library.model.tokenize
         self.spaces = spaces
         self.size = self.library.get_vocab_size(with_added_tokens=True)
@@ -84,9 +84,14 @@ class Encoder:
             letters = letters.encode().decode("latin-1").translate(_LETTERS)
         return _as_bytes([t.id for t in self.merge(_LETTERS[32] + letters if space else letters)])
 
+    def _ends_in_letter(self, core: str) -> bool:
+        """As the tokenizer sees it: the lower case of a letter may end in a combining mark, which joins what follows."""
+        last = core[-1:]
+        return (last if self.spaces else last.lower())[-1:].isalpha()
+
     def _exact(self, part: str) -> bytes:
         core = part.rstrip(_END)
-        if core != part and core[-1:].isalpha():  # a letter and a mark are never in one pretoken
+        if core != part and self._ends_in_letter(core):  # a letter and a mark are never in one pretoken
             return self.outer[core] + self.outer[part[len(core):]]
         ids = self._word(part, False)
         return self._library(part) if ids is None else ids
@@ -95,7 +100,7 @@ class Encoder:
         if not self.spaces:
             return self.outer[part]
         core = part.rstrip(_END)
-        if core != part and core[-1:].isalpha():
+        if core != part and self._ends_in_letter(core):
             return self.inner[core] + self.outer[part[len(core):]]
         if part[:1] == "\n":
             return self.outer["\n"] + self.outer[part[1:]] if part[1:2].isalpha() else self._library(part)
