@@ -65,6 +65,41 @@ def test_binomial_tail_is_exact(spark):
         assert r.p == pytest.approx(want, rel=1e-9)
 
 
+def test_small_strata_are_judged_together(spark):
+    rows = [(f"s{i % 5}", 100, 500, 0, 5, 0, 0, 0, 0) for i in range(300)] + [("large", 100, 500, 70, 5, 0, 0, 0, 0)] * 400
+    good = spark.createDataFrame(rows, GOOD)
+    got = {r.stratum: r.symbols for r in rules.cutoffs(good).collect()}
+    assert got == {**{f"s{i}": 40.0 for i in range(5)}, "large": 100.0}
+    assert {r.symbols for r in rules.cutoffs(good.where("stratum <> 'large'").limit(60)).collect()} == {None}
+
+
+def test_the_risk_is_held_in_simulation(spark):
+    """Good documents are over each cutoff with a chance of its own; the chosen step may exceed the limit in 5 % of draws at most."""
+    import random
+
+    random.seed(11)
+    chances = [0.0, 0.004, 0.012, 0.03, 0.05, 0.2]  # of being over the cutoff of a step and not of the one before
+    cuts = [step["symbols"] for step in rules.steps()]
+    rows, draws = [], 60
+    for draw in range(draws):
+        for _ in range(500):
+            over = max((i for i in range(6) if random.random() < chances[i] - (chances[i - 1] if i else 0)), default=None)
+            least = min((i for i in range(6) if over is not None and i >= over), default=None)
+            rows.append((f"d{draw}", 100, 500, 0 if least is None else int(cuts[least]) + 1, 5, 0, 0, 0, 0))
+    got = rules.cutoffs(spark.createDataFrame(rows, GOOD), alpha=0.05 * draws).collect()  # each draw at 5 %
+    wrong = sum(r.symbols is not None and chances[cuts.index(r.symbols)] > rules.LIMIT for r in got)
+    assert wrong <= 8 and sum(r.symbols is not None for r in got) > 50
+
+
+GOOD = ("stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_upper long, n_exclaims long, "
+        "n_repeat_words long")
+
+
+def test_op8_rejects_by_its_method(spark):
+    rows = op8_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed and not kept").collect()
+    assert rows
+
+
 def test_cutoffs_hold_the_risk_per_stratum(spark):
     """A stratum whose good documents are rich in symbols keeps them; a small one gets no cutoff; a clean one the strictest."""
     rows = []

@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule compares one share of a text with a cutoff and rejects what lies above it. The cutoffs are not guessed: for
-every stratum (language) the labelled good documents that pass the base rules are the holdout, and a cutoff counts
-only if the exact binomial test refutes "this rule rejects more than ``limit / rules`` of the good documents" at level
-``alpha / (rules * strata)`` (Bonferroni). Cutoffs of a rule are nested, so they are tested from the most lenient one
-on and testing stops at the first that fails (fixed sequence; no further correction). With probability ``1 - alpha``
-all strata together reject at most ``limit`` of their good documents. The strictest cutoff that passed is used; a
-stratum with too few labels has none, and nothing of it is rejected but by the base rules.
+Each rule compares one share of a text with a cutoff; a text that any rule finds above its cutoff is rejected. The
+cutoffs are not guessed. They are steps of one ladder, from lenient to strict, on which all rules step at a time, so
+what a step rejects is rejected by the next one too. For every stratum (language) the labelled good documents that pass the
+base rules are the holdout, and a step counts only if the exact binomial test refutes "the rules together reject more than
+``limit`` of the good documents" at level ``alpha / strata`` (Bonferroni). Steps are tested from the most lenient one on
+and testing stops at the first that fails (fixed sequence; no further correction). With probability ``1 - alpha`` no
+tested stratum loses more than ``limit`` of its good documents.
+
+A stratum whose holdout is too small to pass even without a rejection is pooled with the others of that kind; the pool is
+tested as one stratum, and its guarantee is for the documents of the pool together. If the pool is too small as well, or a
+stratum has no labelled good document, nothing of it is rejected but by the base rules.
 
 Words are runs of characters other than space and U+0009 to U+000D. A null text has no words. Three-word windows
 are compared by 64-bit hash within one text.
@@ -101,23 +105,31 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).otherwise(total)
 
 
+def steps(rules: dict = RULES) -> list[dict[str, float]]:
+    """The ladder: the cutoff of each rule at each step; a rule with fewer cutoffs stays at its strictest."""
+    return [{name: cuts[min(i, len(cuts) - 1)] for name, (_, cuts) in rules.items()} for i in range(max(len(cuts) for _, cuts in rules.values()))]
+
+
 def cutoffs(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, limit: float = LIMIT) -> DataFrame:
     """One row per stratum of ``good`` (stratum and features of labelled good documents past the base rules) with a
-    column per rule: the strictest cutoff that passed, or null."""
-    hits = [F.sum((F.expr(share) > cut).cast("long")).alias(f"{name}_{i}")
-            for name, (share, cuts) in rules.items() for i, cut in enumerate(cuts)]
+    column per rule: its cutoff at the strictest step that passed, or null."""
+    ladder = steps(rules)
+    hits = [F.sum(reduce(lambda a, b: a | b, [F.expr(share) > step[name] for name, (share, _) in rules.items()]).cast("long")).alias(f"k{i}")
+            for i, step in enumerate(ladder)]
     counts = saved(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits), "rule-counts")
-    strata = max(1, counts.count())
-    level, rate = alpha / (len(rules) * strata), limit / len(rules)
-
-    def strictest(name: str, cuts: tuple) -> Column:
-        passed = [binomial_tail(F.col("n"), F.col(f"{name}_{i}"), rate) <= level for i in range(len(cuts))]
-        chosen = F.lit(None).cast("double")
-        for i in reversed(range(len(cuts))):  # a cutoff is reached only past all more lenient ones
-            chosen = F.when(passed[i], F.coalesce(chosen, F.lit(cuts[i])))
-        return chosen.alias(name)
-
-    return counts.select("stratum", *[strictest(name, cuts) for name, (_, cuts) in rules.items()])
+    level = alpha / max(1, counts.count())
+    sized = counts.withColumn("tested", F.when(binomial_tail(F.col("n"), F.lit(0).cast("long"), limit) <= level, F.col("stratum")))
+    ks = [f"k{i}" for i in range(len(ladder))]
+    pools = sized.groupBy("tested").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in ks])
+    passed = F.lit(None).cast("int")
+    for i in reversed(range(len(ladder))):  # a step is reached only past all more lenient ones
+        passed = F.when(binomial_tail(F.col("n"), F.col(f"k{i}"), limit) <= level, F.coalesce(passed, F.lit(i)))
+    chosen = pools.select(F.col("tested").alias("pool"), passed.alias("step"))
+
+    def cut(name: str) -> Column:
+        return F.get(F.array(*[F.lit(step[name]) for step in ladder]), F.col("step")).alias(name)
+
+    return sized.join(chosen, F.col("tested").eqNullSafe(F.col("pool"))).select("stratum", *[cut(name) for name in rules])
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",

@@ -37,30 +37,28 @@ def _rule_facts(documents: str = "documents") -> str:
 
 
 def _rule_cutoffs() -> str:
-    share = "case rule " + " ".join(
-        f"when '{name}' then {text.replace('0D', '0')}" for name, (text, _) in rules.RULES.items()) + " end"
-    grid = ", ".join(f"('{name}', {i}, {cut}::double)"
-                     for name, (_, cuts) in rules.RULES.items() for i, cut in enumerate(cuts))
-    rate, level = rules.LIMIT / len(rules.RULES), rules.ALPHA / len(rules.RULES)
+    over = " or ".join(f"{text.replace('0D', '0')} > {name}_cut" for name, (text, _) in rules.RULES.items())
+    grid = ", ".join("(" + ", ".join(map(str, [i, *(f"{step[name]}::double" for name in rules.RULES)])) + ")" for i, step in enumerate(rules.steps()))
+    names = ", ".join(f"{name}_cut" for name in rules.RULES)
     return f"""
-  grid(rule, step, cut) as (values {grid}),
+  ladder(step, {names}) as (values {grid}),
   good as (
     select * from judged
     where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+  strata as (select stratum, count(*) as n, {rules.ALPHA} / count(*) over () as level from good group by stratum),
+  pools as (select stratum, level, case when (1 - {rules.LIMIT}) ** n <= level then stratum else '~' end as pool from strata),
   hits as (
-    select stratum, rule, step, cut, count(*) as n, count(*) filter ({share} > cut) as k
-    from good, grid group by all),
+    select pool, level, step, count(*) as n, count(*) filter ({over}) as k
+    from good join pools using (stratum), ladder group by all),
   tails as (
-    select *, case when k >= n * {rate} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda j:
-        exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate})))) end as p
+    select *, case when k >= n * {rules.LIMIT} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda j:
+        exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rules.LIMIT}) + (n - j) * ln(1 - {rules.LIMIT})))) end as p
     from hits),
-  passed as (
-    select *, max(p) over (partition by stratum, rule order by step) as worst from tails),
-  chosen as (
-    select stratum, rule, min(cut) as cut from passed
-    where worst <= {level} / (select count(distinct stratum) from good) group by all),
+  passed as (select *, max(p) over (partition by pool order by step) as worst from tails),
+  chosen as (select pool, max(step) as step from passed where worst <= level group by pool),
   over as (
-    select distinct doc_id from judged join chosen using (stratum) where n_words > 0 and {share} > cut)"""
+    select distinct doc_id from judged join pools using (stratum) join chosen using (pool) join ladder using (step)
+    where n_words > 0 and ({over}))"""
 
 
 def op8() -> str:
