@@ -106,3 +106,21 @@ def test_edges(spark):
     assert piece_counts.token_counts(docs.where("false"), PATH).collect() == []
     assert piece_viterbi.encode(docs.where("false"), PATH).collect() == []
     assert piece_viterbi.decode(spark.createDataFrame([(None,)], "ids binary"), PATH).first().text is None
+
+
+def test_one_word_of_a_million_letters():
+    import time
+
+    import public_tokenizers
+
+    from unitlens.llm import piece_viterbi, unigram
+
+    text = "".join("qxzvwkja"[(i * i + i // 7) % 8] for i in range(1_000_000))
+    segmenter = piece_viterbi.Segmenter(unigram.Lexicon(public_tokenizers.path("piece_bpe_32k.model")))
+    begin = time.perf_counter()
+    ids = segmenter.segment({text})[text]
+    assert time.perf_counter() - begin < 60 and len(ids) // 4 > 100_000
+    # a stretch of it, cut where the whole is cut, has the ids it has there
+    short = text[:3000]
+    whole, part = (ids, segmenter.segment({short})[short])
+    assert whole[:len(part) - 200] == part[:len(part) - 200]

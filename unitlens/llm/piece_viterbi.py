@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 The different words of a batch are laid out by length, so that all words of one length advance together, one place at a
-time. At each place, hashes of the substrings that end there probe the sorted hashes of the pieces of their length (hits
-are compared character by character), and the maximum over the starts, for all words at once, is stored with its
-backpointer. See ``unigram`` for the rules.
+time. For each length of piece, the hashes of all substrings of that length probe the sorted hashes of the pieces (hits
+are compared character by character); then, place by place, the maximum over the pieces that end there, for all words at once,
+is stored with its backpointer. See ``unigram`` for the rules.
 """
 
 from __future__ import annotations
@@ -52,43 +52,51 @@ class Segmenter:
             out[:, j + 1] = out[:, j] * np.uint64(_BASE) + codes[:, j] + np.uint64(1)
         return out
 
-    def _probe(self, hashes: np.ndarray, codes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the substrings from ``start`` to ``end``; -inf and -1 where they are no piece."""
-        n, size = len(codes), end - start
-        scores, ids = np.full(n, -np.inf), np.full(n, -1, "i4")
+    def _probe(self, hashes: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), by word and end, of all substrings of ``size`` characters; -inf and -1 where they are no piece."""
+        shape = (len(codes), codes.shape[1] - size + 1)
+        scores, ids = np.full(shape, -np.inf), np.full(shape, -1, "i4")
         if size in self.pieces:
             keys, names, values, numbers = self.pieces[size]
-            wanted = hashes[:, end] - hashes[:, start] * self.powers[size]
+            wanted = hashes[:, size:] - hashes[:, :-size] * self.powers[size]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == wanted)
-            hit = hit[(names[at[hit]] == codes[hit, start:end]).all(axis=1)]
-            scores[hit], ids[hit] = values[at[hit]], numbers[at[hit]]
+            word, start = np.nonzero(keys[at] == wanted)
+            at = at[word, start]
+            same = (names[at] == np.lib.stride_tricks.sliding_window_view(codes, size, axis=1)[word, start]).all(axis=1)
+            word, start, at = word[same], start[same], at[same]
+            scores[word, start], ids[word, start] = values[at], numbers[at]
         if size == 1:
-            none = ids < 0
-            scores[none] = self.lexicon.unknown_score
+            scores[ids < 0] = self.lexicon.unknown_score
         return scores, ids
 
     def _equal_sized(self, words: list[str], size: int) -> list[bytes]:
         codes = _codes(words, size)
         hashes, n = self._hashes(codes), len(words)
-        best = np.zeros((n, size + 1))
-        back, piece = np.zeros((n, size + 1), "i4"), np.zeros((n, size + 1), "i4")
+        sizes = np.array(sorted({1, *self.pieces}, reverse=True))  # long pieces first: of equal sums the piece that starts first wins
+        sizes = sizes[sizes <= size]
+        scores, ids = np.full((size + 1, len(sizes), n), -np.inf), np.full((size + 1, len(sizes), n), -1, "i4")
+        for k, one in enumerate(sizes.tolist()):
+            found = self._probe(hashes, codes, one)
+            scores[one:, k], ids[one:, k] = found[0].T, found[1].T
+        best = np.zeros((size + 1, n))
+        top = np.zeros((size + 1, n), "i4")
+        first = [int((sizes > end).sum()) for end in range(int(sizes[0]) + 1)]  # sizes that reach back before the word
         rows = np.arange(n)
         for end in range(1, size + 1):
-            starts = range(max(0, end - self.longest), end)
-            found = [self._probe(hashes, codes, s, end) for s in starts]
-            sums = np.stack([best[:, s] + f[0] for s, f in zip(starts, found, strict=True)])
-            top = sums.argmax(axis=0)  # the first of equal ones: the piece that starts first
-            best[:, end], back[:, end] = sums[top, rows], top + starts[0]
-            piece[:, end] = np.stack([f[1] for f in found])[top, rows]
+            fits = first[min(end, len(first) - 1)]
+            sums = best[end - sizes[fits:]] + scores[end, fits:]
+            chosen = sums.argmax(axis=0)
+            best[end], top[end] = sums[chosen, rows], chosen + fits
+        piece = np.take_along_axis(ids, top[:, None, :], axis=1)[:, 0].T.tolist()
+        back = (np.arange(size + 1)[:, None] - sizes[top]).T.tolist()
         out = []
-        for word, ids, starts in zip(words, piece.tolist(), back.tolist(), strict=True):
-            pieces: list[int] = []
+        for word, mine, starts in zip(words, piece, back, strict=True):
+            pieces: list[list[int]] = []
             at = size
             while at:
-                pieces[:0] = [ids[at]] if ids[at] >= 0 else self.lexicon.unknown(word[starts[at]:at])
+                pieces.append([mine[at]] if mine[at] >= 0 else self.lexicon.unknown(word[starts[at]:at]))
                 at = starts[at]
-            out.append(as_bytes(pieces))
+            out.append(as_bytes([i for some in reversed(pieces) for i in some]))
         return out
 
     def segment(self, words: set[str]) -> dict[str, bytes]:
