@@ -103,5 +103,5 @@ def test_documents_that_share_an_id_or_have_none_are_judged_each(spark, tmp_path
 def test_language_stage_without_any_label_keeps_texts(spark):
     rows = [(1, "a clean text of words", None, "x", 21), (2, "12 %", None, "x", 4), (3, None, None, "x", 0), (None, "das ist ein Text", None, "x", 16)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = corpus_pipeline.language(spark, docs, "")
+    got = pipeline.language(spark, docs, "")
     assert got.columns == docs.columns and {r.text for r in got.collect()} == {rows[0][1], rows[3][1]}
