@@ -86,7 +86,8 @@ def upsert_sightings(incoming: DataFrame, stored: DataFrame, run_ts: Column) ->
     new = incoming.select(
         "source_key", F.coalesce("resolved_key", "dedupe_key").alias("dedupe_key"), "source", "source_id", "url", "price",
         run_ts.alias("first_seen_at"), run_ts.alias("last_seen_at"))
-    return fold_sightings(stored.unionByName(new))
+    turns = stored.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+    return fold_sightings(turns, "turn")  # of passes dated alike the later one
 
 
 def unit_history(history: DataFrame, *keys: str, key: str = "dedupe_key") -> DataFrame:
@@ -101,8 +102,9 @@ def unit_sightings(sightings: DataFrame, *keys: str, key: str = "dedupe_key") ->
     return rows.orderBy(key, F.desc("last_seen_at"), "source_key")
 
 
-def fold_sightings(rows: DataFrame) -> DataFrame:
-    at = F.struct("last_seen_at", "dedupe_key", "price", "url")
+def fold_sightings(rows: DataFrame, *then: str) -> DataFrame:
+    """One row per source_key with its latest facts, by last_seen_at and the columns ``then``."""
+    at = F.struct("last_seen_at", *then, "dedupe_key", "price", "url")
     return rows.groupBy("source_key").agg(
         F.max_by("dedupe_key", at).alias("dedupe_key"), F.max_by("source", at).alias("source"),
         F.max_by("source_id", at).alias("source_id"),
