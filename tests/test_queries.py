@@ -17,7 +17,8 @@ CHECKED = (
     "scan_search_pages", "scan_structured_feed", "scan_feed", "scan_card_pages", "scan_canonical", "mapped_with_casts",
     "scan_register_folios", "scan_register_parcels", "scan_property_records", "scan_valuations", "fallback_union",
     "configured_health", "union_sightings", "ranged_scan", "pass_units", "pass_sightings", "pass_history", "pass_events",
-    "pass_alerts", "pass_runs", "page_text", "stream_sends", "stream_redelivered",
+    "pass_alerts", "pass_runs", "page_text", "stream_sends", "stream_redelivered", "verify_with_parcels",
+    "register_validate",
 )
 
 

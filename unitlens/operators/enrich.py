@@ -42,23 +42,28 @@ def match_register(units: DataFrame, register: DataFrame, street: str = "street_
     address ends in a word holding the unit, else the first of the street.
 
     ``register`` has ``street_key``, ``reg_seq`` and the facts. "Holding" is answered without a join of all
-    pairs: of its last word the register lists the substrings that are as long as a unit of that street, and the unit is
-    looked up among them.
+    pairs: of its last word the register lists the substrings that are as long as a unit of that street, and only those
+    that are a unit asked for there go on. The search carries ``reg_seq`` alone; the facts are fetched for the winners.
+    Units are read twice, so write them down first if they are costly to derive.
     """
-    record = F.struct("reg_seq", *[F.col(c) for c in _FACTS])
+    known = register.where("street_key is not null")
+    record = F.struct("reg_seq", *[F.col(c) for c in _FACTS]).alias("rec")
     last_word = ad.normalize_unit(F.element_at(F.split(F.btrim("site_address"), r"\s+"), -1))
-    rows = register.where("street_key is not null").select(
-        "street_key", record.alias("rec"), ad.normalize_unit(F.col("unit")).alias("u"), last_word.alias("w"))
-    exact = rows.where("u <> ''").select("street_key", F.col("u").alias("probe"), F.lit(0).alias("rank"), "rec")
+    words = known.select("street_key", "reg_seq", ad.normalize_unit(F.col("unit")).alias("u"), last_word.alias("w"))
     u = units.withColumns({"__street": _spread_nulls(F.nullif(F.col(street), F.lit("")), *units.columns[:3]),
                            "__unit": ad.normalize_unit(F.col(unit))})
     asked = u.where(F.col(street).isNotNull() & (F.col("__unit") != "")).select(
-        F.col("__street").alias("street_key"), F.length("__unit").alias("n")).distinct()
-    held = rows.where("w <> ''").join(asked, "street_key").select(
-        "street_key", F.explode(_substrings(F.col("w"), F.col("n"))).alias("probe"), F.lit(1).alias("rank"), "rec")
-    by_unit = exact.unionByName(held).groupBy(F.col("street_key").alias("__s1"), F.col("probe").alias("__p1")).agg(
-        F.min(F.struct("rank", "rec")).alias("hit"))
-    by_street = rows.groupBy(F.col("street_key").alias("__s2")).agg(F.min("rec").alias("first"))
+        F.col("__street").alias("street_key"), F.col("__unit").alias("probe")).distinct()
+    lengths = asked.select("street_key", F.length("probe").alias("n")).distinct()
+    exact = words.where("u <> ''").select("street_key", F.col("u").alias("probe"), F.lit(0).alias("rank"), "reg_seq")
+    held = words.where("w <> ''").join(lengths, "street_key").select(
+        "street_key", F.explode(_substrings(F.col("w"), F.col("n"))).alias("probe"), F.lit(1).alias("rank"), "reg_seq")
+    best = exact.unionByName(held).join(asked, ["street_key", "probe"], "left_semi").groupBy("street_key", "probe").agg(
+        F.min(F.struct("rank", "reg_seq")).alias("best")).select("street_key", "probe", "best.*")
+    # rows of a street that repeat a reg_seq count as one, the least
+    by_unit = best.join(known.select("street_key", "reg_seq", record), ["street_key", "reg_seq"]).groupBy(
+        F.col("street_key").alias("__s1"), F.col("probe").alias("__p1")).agg(F.min(F.struct("rank", "rec")).alias("hit"))
+    by_street = known.groupBy(F.col("street_key").alias("__s2")).agg(F.min(record).alias("first"))
     u = u.join(by_unit, (F.col("__street") == F.col("__s1")) & (F.col("__unit") == F.col("__p1")), "left")
     u = u.join(by_street, F.col("__street") == F.col("__s2"), "left")
     return u.withColumns({
@@ -68,29 +73,41 @@ def match_register(units: DataFrame, register: DataFrame, street: str = "street_
     }).drop("hit", "first", "__street", "__unit", "__s1", "__p1", "__s2")
 
 
+_NUMBER_TAIL, _WORD_HEAD = 6, 3  # characters of a house number and of a word that make a key
+
+
 def street_candidates(streets: DataFrame, parcels: DataFrame, street: str = "street_key") -> DataFrame:
-    """Parcels whose address contains a street line, as register rows of that street.
+    """Parcels whose address contains a street line, as register rows of that street; a parcel given twice stays twice.
 
     A contained line starts with a house number, so its first word ends a word of the address and its second word
-    starts the next. Both sides are keyed by that pair, and only rows with equal pairs are compared. Exact: the
-    key is implied by containment.
+    starts the next. Both sides are keyed by the last characters of the former and the first of the latter (the whole
+    word where the line goes on behind it), and only rows with equal keys are compared. Exact: the key is implied by
+    containment.
     """
-    wanted = streets.where(f"coalesce({street}, '') <> ''").select(F.col(street).alias("street_key")).distinct()
-    line = F.upper(tx.title_case(F.col("street_key")))
-    words = F.split(line, " ")
-    whole = F.size(words) > 2
-    wanted = wanted.withColumns({"line": line, "block": F.concat(
-        F.when(whole, "=").otherwise("~"), F.get(words, 0), F.lit(" "), F.get(words, 1))})
-    blocks = F.expr("""
+    wanted = streets.select(F.upper(tx.title_case(F.col(street))).alias("line"), F.col(street).alias("street_key")).where(
+        "street_key rlike '^[0-9]'").distinct()
+    words = F.split("line", " ")
+    second = F.get(words, 1)
+    wanted = wanted.withColumn("block", F.concat(
+        F.when(F.size(words) > 2, F.lit("=")).otherwise(F.lit("~")), F.right(F.get(words, 0), F.lit(_NUMBER_TAIL)), F.lit(" "),
+        F.when(F.size(words) > 2, second).otherwise(F.left(second, F.lit(_WORD_HEAD)))))
+    return parcel_keys(parcels).join(wanted, "block").where(F.contains("__addr", "line")).drop("block", "line", "__addr")
+
+
+def parcel_keys(parcels: DataFrame) -> DataFrame:
+    """Parcels with ``block``, one row per key a street line in their address may have: at most
+    ``_NUMBER_TAIL * (1 + _WORD_HEAD)`` for each two neighbouring words, however long they are."""
+    # a tail shorter than the limit is a whole house number, one of full length may be the end of a longer one
+    blocks = F.expr(f"""
         array_distinct(flatten(transform(sequence(0, greatest(size(__w) - 2, 0)), i -> flatten(transform(
-            filter(transform(sequence(1, greatest(length(__w[i]), 1)), s -> substring(__w[i], s)), t -> t rlike '^[0-9]'),
+            filter(transform(sequence(1, greatest(least(length(__w[i]), {_NUMBER_TAIL}), 1)), n -> right(__w[i], n)),
+                   t -> t rlike '^[0-9]' or length(t) = {_NUMBER_TAIL}),
             t -> concat(
                 array(concat('=', t, ' ', coalesce(get(__w, i + 1), ''))),
-                transform(sequence(1, greatest(length(coalesce(get(__w, i + 1), '')), 1)),
+                transform(sequence(1, greatest(least(length(coalesce(get(__w, i + 1), '')), {_WORD_HEAD}), 1)),
                           n -> concat('~', t, ' ', left(coalesce(get(__w, i + 1), ''), n)))))))))""")
     sides = parcels.withColumn("__addr", F.upper("site_address")).withColumn("__w", F.split("__addr", " "))
-    keyed = sides.withColumn("block", F.explode(blocks)).drop("__w")
-    return keyed.join(wanted, "block").where(F.contains("__addr", "line")).drop("block", "line", "__addr").distinct()
+    return sides.withColumn("block", F.explode(blocks)).drop("__w")
 
 
 def validate_against_register(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ executor, a failed or a repeated batch leaves no half state."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -25,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what is costly to derive and read more than once is derived once,
+    and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_rows(units: DataFrame) -> DataFrame:
     """The fourteen columns of an export."""
     have = set(units.columns)

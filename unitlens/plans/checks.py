@@ -16,7 +16,7 @@ from unitlens.functions.keywords import scan_keywords, tag_categories
 from unitlens.functions.lease import extract_lease_terms
 from unitlens import fixed_values as fv
 from unitlens.operators import alerts, derive, enrich, merge, resolve, state, stats, verdicts
-from unitlens.operators.sinks import Store, export_rows, shared_folder
+from unitlens.operators.sinks import Store, export_rows, shared_folder, written
 from unitlens.plans import driver_views as v
 from unitlens.plans.run_pass import PassSettings, run_pass
 from unitlens.sources import field_maps as fm
@@ -60,7 +60,8 @@ def multi_source_units(spark, d):
 
 
 def first_wins_merge(spark, d):
-    units = merge.merge_units(_identified(spark, d).withColumn("unit_no", _unit_no()), "unit_no", v.LINE_ORDER)
+    rows = written(_identified(spark, d).withColumn("unit_no", _unit_no()), "identified")
+    units = merge.merge_units(rows, "unit_no", v.LINE_ORDER)
     return units.select(
         "unit_no", "source", "source_id", "url", "broker", "status", "beds", "baths", "sqft", "year_built",
         "days_on_market", "latitude", "price", F.array_join("photos", ",").alias("photos"),
@@ -215,7 +216,7 @@ def export_matches(spark, d):
 # --- register and models -----------------------------------------------------------------------------------
 
 def _verified(spark, d) -> DataFrame:
-    return enrich.verify_units(_identified(spark, d), v.register(spark, d))
+    return enrich.verify_units(written(_identified(spark, d), "identified"), v.register(spark, d))
 
 
 def register_validate(spark, d):
