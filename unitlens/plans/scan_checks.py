@@ -13,7 +13,7 @@ from unitlens.operators import derive, enrich, merge, stats
 from unitlens.operators.sinks import shared_folder
 from unitlens.plans import driver_views as v
 from unitlens.schema import conform
-from unitlens.sources import field_maps as fm
+from unitlens.sources import field_maps as fm, registry
 from unitlens.sources import landed, mapping
 
 PER_PAGE = 100
@@ -208,7 +208,45 @@ def ranged_scan(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def registered_source(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources of one's own, read together by a range that one of them can be asked by, and by one that finds nothing."""
+    def listed(rows: DataFrame) -> DataFrame:
+        doc = "named_struct('no', p_partkey, 'where', concat(p_partkey, ' Quay'), 'rent', p_retailprice, 'rooms', p_size % 5)"
+        return rows.select(F.parse_json(F.to_json(F.expr(doc))).alias("item"))
+
+    registry.register_source(registry.Source(
+        "quay", lambda s, path: v.table(s, path, "part"), dict(source_id=("no",), address=("where",), price=("rent",), beds=("rooms",)),
+        listed, {"price": "p_retailprice"}), replace=True)
+    registry.register_source(registry.Source(
+        "desk", lambda s, path: v.table(s, path, "supplier").select(
+            F.expr("cast(s_suppkey as string)").alias("source_id"), F.expr("concat(s_suppkey, ' Desk Row')").alias("address"))), replace=True)
+    out = []
+    for name, low in (("some", 910), ("none", 10_000_000)):
+        rows, outcomes = registry.read_sources(spark, {"quay": d, "desk": d}, {"price": (low, None), "beds": (1, 3)})
+        notes = outcomes.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("message")), "; ").alias("notes"))
+        out.append(rows.join(notes, "source", "left").select(F.lit(name).alias("range"), "source", "source_id", "address", "price", "beds", "notes"))
+    return out[0].unionByName(out[1])
+
+
+def _faulty_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, records and outcomes: some pages cut off, some that are no JSON, hold nothing, or records without a place."""
+    doc = F.expr("""case when event_id % 6 = 0 then null when event_id % 10 = 5 then parse_json('{"total": 0}')
+        when event_id % 10 = 3 then parse_json('[{"id": "x", "price": 5, "beds": 2}]') else doc end""")
+    pages = v.event_payloads(spark, d).withColumn("doc", doc).drop("event_id")
+    records = landed.aggregator_records(pages.withColumn("portal", F.col("source")))
+    mapped = mapping.map_payloads(records, dict(source_id=("id",), address=("address",)), "any", need_both_coordinates=False)
+    return pages, records.withColumnRenamed("portal", "source"), landed.page_outcomes(pages, records, mapped, "total")
+
+
+def page_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _faulty_pages(spark, d)[2]
+
+
+def outcome_health(spark: SparkSession, d: str) -> DataFrame:
+    return landed.outcome_health(*_faulty_pages(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
     scan_search_pages, scan_structured_feed, scan_feed, scan_card_pages, scan_canonical, mapped_with_casts, scan_register_folios,
     scan_register_parcels, scan_property_records, scan_valuations, verify_with_parcels, fallback_union, configured_health,
-    union_sightings, ranged_scan)}
+    union_sightings, ranged_scan, registered_source, page_outcomes, outcome_health)}

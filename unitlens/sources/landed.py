@@ -271,3 +271,42 @@ def source_health(pages: DataFrame, records: DataFrame) -> DataFrame:
     by_record = records.groupBy("source").agg(F.count("*").alias("records"))
     joined = by_page.join(by_record, "source", "left").fillna(0, ["records"])
     return joined.withColumn("ok", F.col("failed_pages") == 0)
+
+
+def page_outcomes(pages: DataFrame, records: DataFrame, sightings: DataFrame | None = None, total_path: str | None = None) -> DataFrame:
+    """(source, file, kind, message): what went wrong on each page, long; a page without a fault has no row.
+
+    ``unreadable``: the body is not JSON. ``empty``: it is, but holds no record. ``truncated``: it declares more records at
+    ``total_path`` than it returned. ``unplaced``: records that the mapping dropped, as ``sightings`` lack them. Per page only
+    counts are joined, never bodies.
+    """
+    declared = F.expr(vt.scalar_text("doc", total_path)).try_cast("bigint") if total_path else F.lit(None).cast("bigint")
+    by_page = pages.select("source", "file", F.col("doc").isNull().alias("bad"), declared.alias("declared"))
+    place = F.col("ingest_seq.file").alias("file")
+    by_page = by_page.join(records.groupBy(place).agg(F.count("*").alias("returned")), "file", "left")
+    if sightings is not None:
+        by_page = by_page.join(sightings.groupBy(place).agg(F.count("*").alias("placed")), "file", "left")
+    else:
+        by_page = by_page.withColumn("placed", F.col("returned"))
+    n, placed = F.coalesce("returned", F.lit(0)), F.coalesce("placed", F.lit(0))
+    good = ~F.col("bad")
+    faults = {
+        "unreadable": (F.col("bad"), F.lit("the body is not JSON")),
+        "empty": (good & (n == 0), F.lit("the page holds no record")),
+        "truncated": (good & (F.col("declared") > n), F.format_string("%d listings matched but %d returned", "declared", n)),
+        "unplaced": (good & (placed < n), F.format_string("%d of %d records have no address and no position", n - placed, n)),
+    }
+    each = [F.when(test, F.struct(F.lit(kind).alias("kind"), message.alias("message"))) for kind, (test, message) in faults.items()]
+    return by_page.select("source", "file", F.inline(F.array_compact(F.array(*each))))
+
+
+def outcome_health(pages: DataFrame, records: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Per source: requests (pages), records, pages at fault by kind of outcome, and ``ok`` if every page could be read."""
+    kinds = outcomes.groupBy("source").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("unreadable", "empty", "truncated", "unplaced")],
+        F.count_if(F.col("kind") == "note").alias("notes"))
+    asked = pages.groupBy("source").agg(F.count("*").alias("requests"))
+    found = records.groupBy("source").agg(F.count("*").alias("records"))
+    joined = asked.join(found, "source", "left").join(kinds, "source", "left")
+    joined = joined.fillna(0, ["records", "unreadable", "empty", "truncated", "unplaced", "notes"])
+    return joined.withColumn("ok", F.col("unreadable") == 0)
