@@ -68,6 +68,46 @@ def test_all_pairs_within_three_bits_meet(spark):
     assert got == want
 
 
+def test_a_ball_of_fingerprints_gives_few_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    center = rng.getrandbits(64)
+    ball = {center ^ 1 << i ^ 1 << j for i in range(64) for j in range(64)}  # the center and all two bits away
+    while len(ball) < 3000:
+        ball.add(center ^ sum(1 << b for b in rng.sample(range(64), 3)))
+    far = {rng.getrandbits(64) for _ in range(50)}
+    fps = spark.createDataFrame([(signed(f),) for f in ball | far], "fp long").repartition(4)
+    monkeypatch.setattr(simhash, "BLOCK", 40)  # so that a key has several blocks
+    links = simhash.spanning_links(fps)
+    rows = links.collect()
+    assert len(rows) < 300 * len(ball)
+    assert all(r.a != r.b for r in rows)
+    got = {r.node: r.root for r in simhash.connected_components(links).collect()}
+    want = brute_groups({signed(f): f for f in ball | far})
+    assert {f: got.get(f, f) for f in want} == want
+
+
+def test_trees_of_a_block_have_its_components():
+    rng = random.Random(7)
+    for _ in range(30):
+        base = [rng.getrandbits(64) for _ in range(4)]
+        fps = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(12), rng.randint(0, 3))) for _ in range(60)]
+        x, y = fps[:30], fps[30:]
+        a, b = simhash._block_trees(np.array([signed(f) for f in x], "i8"), np.array([signed(f) for f in y], "i8"))
+        tree, full = {signed(f): signed(f) for f in fps}, {signed(f): signed(f) for f in fps}
+
+        def find(root, k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for root, pairs in ((tree, zip(a.tolist(), b.tolist(), strict=True)),
+                            (full, [(signed(f), signed(g)) for f in x for g in y if (f ^ g).bit_count() <= 3])):
+            for f, g in pairs:
+                u, w = sorted((find(root, f), find(root, g)))
+                root[w] = u
+        assert {k: find(tree, k) for k in tree} == {k: find(full, k) for k in full}
+
+
 def test_op10_against_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     fps = {r.doc_id: brute_fingerprint(r.text) for r in rows}

@@ -12,7 +12,8 @@ Fingerprints that differ in at most three bits have, by pigeonhole,
   the latter, for each of the six choices.
 
 Equal fingerprints are one row throughout. Candidates are joined on their key and verified by their bits. No bucket is
-capped: AQE splits the partitions of a frequent key.
+capped. A key with more than ``HEAVY`` candidate pairs is cut into blocks of about ``BLOCK`` fingerprints a side; each
+pair of blocks is compared in one task, which hands on one row per linked fingerprint, not the pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ GENERATOR = 0b110001110101  # of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 +
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
 MOST_INDICES = 6
 CHUNK = 1 << 16
+HEAVY, BLOCK = 1 << 12, 1 << 11
 
 
 def shingle_hashes(text: str):
@@ -156,6 +158,62 @@ def links(fps: DataFrame) -> DataFrame:
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _block_trees(asking: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, root): of the fingerprints that links between the two sides reach, each with one of its component."""
+    near = np.bitwise_count(asking.view("u8")[:, None] ^ asked.view("u8")) <= MAX_BITS
+    open_rows, open_columns = near.any(axis=1), near.any(axis=0)
+    fps, roots = [], []
+    for start in np.flatnonzero(open_rows):
+        if not open_rows[start]:
+            continue
+        rows = np.array([start])
+        while len(rows):  # every row and column is looked at once, in the wave that reaches it
+            open_rows[rows] = False
+            columns = np.flatnonzero(near[rows].any(axis=0) & open_columns)
+            open_columns[columns] = False
+            reached = np.concatenate([asking[rows], asked[columns]])
+            fps.append(reached)
+            roots.append(np.full(len(reached), asking[start]))
+            rows = np.flatnonzero(near[:, columns].any(axis=1) & open_rows)
+    if not fps:
+        return np.empty(0, "i8"), np.empty(0, "i8")
+    fps, roots = np.concatenate(fps), np.concatenate(roots)
+    other = fps != roots
+    return fps[other], roots[other]
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    fps, asks = group.column("fp").to_numpy(), group.column("asks").to_numpy()
+    a, b = _block_trees(fps[asks], fps[~asks])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def spanning_links(fps: DataFrame) -> DataFrame:
+    """(a, b): links of distinct fingerprints, enough of them to have the components of all ``links``.
+
+    Of a key with at most ``HEAVY`` candidate pairs come the pairs that hold, of others the trees of their blocks: a row
+    for each key of a fingerprint and block it meets, however many are near each other.
+    """
+    ask, asked = keyed(fps, True), keyed(fps, False)
+    sizes = ask.groupBy("key").agg(F.count(F.lit(1)).alias("n_ask")).join(
+        asked.groupBy("key").agg(F.count(F.lit(1)).alias("n_asked")), "key").where(F.col("n_ask") * F.col("n_asked") > HEAVY)
+    blocks = {n: F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n_ask", "i_blocks"), ("n_asked", "j_blocks"))}
+    heavy = saved(sizes.select("key", *blocks.values()), "heavy-keys")
+    x = ask.join(heavy, "key", "left_anti").withColumnRenamed("fp", "x")
+    y = asked.join(heavy, "key", "left_anti").withColumnRenamed("fp", "y")
+    light = x.join(y, "key").where((F.col("x") != F.col("y")) & (
+        F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_BITS)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def side(rows: DataFrame, asks: bool) -> DataFrame:
+        own, other = ("i", "j") if asks else ("j", "i")
+        dealt = rows.join(heavy, "key").withColumn(own, F.pmod(F.xxhash64("fp"), F.col(f"{own}_blocks")).cast("int"))
+        dealt = dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        return dealt.select("key", "i", "j", "fp", F.lit(asks).alias("asks"))
+
+    trees = side(ask, True).unionByName(side(asked, False)).groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
+    return light.unionByName(trees)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id of the fingerprints that links reach.
 
@@ -164,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     each = fingerprints(docs, doc_id, text)
     least = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(least))
+    roots = connected_components(spanning_links(least))
     grouped = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = saved(grouped.join(ids, "root").select("fp", "component_id"), "fingerprint-components")
