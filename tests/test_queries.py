@@ -18,7 +18,7 @@ CHECKED = (
     "scan_register_folios", "scan_register_parcels", "scan_property_records", "scan_valuations", "fallback_union",
     "configured_health", "union_sightings", "ranged_scan", "pass_units", "pass_sightings", "pass_history", "pass_events",
     "pass_alerts", "pass_runs", "page_text", "stream_sends", "stream_redelivered", "verify_with_parcels",
-    "register_validate", "registered_source", "page_outcomes", "outcome_health",
+    "explained_messages", "display_lines", "valuation_requests", "register_validate", "registered_source", "page_outcomes", "outcome_health",
 )
 
 

@@ -209,6 +209,20 @@ def valuation_type() -> Column:
     return F.try_element_at(tx.lookup_table(fv.VALUATION_TYPES), F.lower(F.btrim(F.col("property_type"))))
 
 
+def valuation_requests(df: DataFrame) -> DataFrame:
+    """What the models are asked: one row per address line, with the type in their own words and the size.
+
+    Of units with one line the earliest by ``ingest_seq`` that states a fact gives it; units without a usable address are
+    not asked for. A type the models do not know is left out of the request.
+    """
+    line = ad.valuation_line(F.col("address_parts"))
+    asked = df.select("ingest_seq", line.alias("address_key"), ad.valuation_zip_line(F.col("address_parts")).alias("zip_key"),
+                      valuation_type().alias("property_type"), "beds", "baths", "sqft").where("address_key is not null")
+    facts = ("zip_key", "property_type", "beds", "baths", "sqft")
+    return asked.groupBy("address_key").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ingest_seq"))).alias(c) for c in facts])
+
+
 def enrichment_counters(df: DataFrame) -> DataFrame:
     """One row of counts over an enriched table."""
     flags = {"attempted": "enrichment_attempted", "county_hits": "county_hit", "sqft_conflicts": "sqft_conflict",

@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="unitlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _local_folder(spark.sparkContext.applicationId)
     return named.rstrip("/")
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"unitlens-{application}-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: what is costly to derive and read more than once is derived once,
     and a lost executor costs a re-read."""

@@ -180,6 +180,16 @@ def explained_verdicts(spark, d):
     return verdicts.explain_verdicts(_judged(spark, d), "unit_no").where("kind = 'failure'").select("unit_no", "pos", "message")
 
 
+def explained_messages(spark, d):
+    """Failures and warnings of every unit, passed or not."""
+    return verdicts.explain_verdicts(_judged(spark, d), "unit_no")
+
+
+def display_lines(spark, d):
+    units = derive.derive(conform(v.order_units(spark, d)))
+    return units.select("unit_no", derive.summary_line().alias("summary"), geo.describe_distance(F.col("miles_from_ocean")).alias("distance"))
+
+
 def rejection_histogram(spark, d):
     return stats.rejection_histogram(_judged(spark, d))
 
@@ -243,6 +253,15 @@ def valuation_verdict(spark, d):
         "price_to_estimate_ratio", "price_verdict", "gross_yield_pct")
 
 
+def valuation_requests(spark, d):
+    units = v.table(spark, d, "orders").select(
+        F.expr("concat(100 + o_custkey, ' Main St #7, Surfside, FL 33154')").alias("address"), F.col("o_orderkey").alias("ingest_seq"),
+        v.one_of("o_orderkey", "' CO-OP '", "'Condominium'", "'Boat'", "null", "'townhouse'").alias("property_type"),
+        F.expr("if(o_orderkey % 3 = 0, null, cast(o_orderkey % 4 as double))").alias("beds"), F.expr("cast(1 as double)").alias("baths"),
+        F.expr("if(o_orderkey % 2 = 0, null, cast(600 + o_orderkey % 900 as int))").alias("sqft"))
+    return enrich.valuation_requests(derive.derive_identity(conform(units)))
+
+
 def enrichment_counters(spark, d):
     return enrich.enrichment_counters(_verified(spark, d).withColumn("enrichment_attempted", F.lit(True)))
 
@@ -588,6 +607,7 @@ def full_pass(spark, d):
 
 QUERIES.update({
     "stream_changes": stream_changes, "stream_cooldown": stream_cooldown, "stream_inactive": stream_inactive,
+    "explained_messages": explained_messages, "display_lines": display_lines, "valuation_requests": valuation_requests,
     "stream_sends": stream_sends, "stream_redelivered": stream_redelivered,
     "full_pass": full_pass,
 })

@@ -245,6 +245,17 @@ ORACLES = {
         FROM pts LEFT JOIN miles USING (event_id)""",
     "verdicts": f"WITH {_JUDGED} SELECT unit_no, passed, reason, score FROM judged",
     "explained_verdicts": f"""WITH {_JUDGED} SELECT unit_no, unnest(range(1, len(failures) + 1)) AS pos, unnest(failures) AS message FROM judged""",
+    "explained_messages": f"""WITH {_JUDGED} SELECT unit_no, passed, 'failure' AS kind, unnest(range(1, len(failures) + 1)) AS pos, unnest(failures) AS message FROM judged
+        UNION ALL SELECT unit_no, passed, 'warning', unnest(range(1, len(warnings) + 1)), unnest(warnings) FROM judged""",
+    "display_lines": f"""WITH {_UNITS}, {_with_miles('units', 'unit_no')} SELECT unit_no, (100 + unit_no) || ' Collins Ave #' || (1 + unit_no % 9) || 'C, ' || city || ', ' || state || ' ' || zip_code
+          || ' | ' || coalesce('$' || {_group('price')} || '/mo', 'price n/a') || ' | ' || coalesce({_num('beds')}, '?') || 'bd/' || coalesce({_num('baths')}, '?') || 'ba | '
+          || coalesce({_group('sqft')} || ' sqft', 'sqft n/a') || ' | ' || CASE t WHEN 0 THEN '6-12 months' WHEN 1 THEN '12 months' WHEN 3 THEN '24+ months' ELSE 'unspecified' END AS summary,
+          CASE WHEN miles IS NULL THEN 'distance unknown' WHEN miles < 0.06 THEN 'oceanfront (<0.1 mi)' ELSE printf('%.2f', miles) || ' mi from ocean' END AS distance
+        FROM units LEFT JOIN miles USING (unit_no)""",
+    "valuation_requests": """SELECT (100 + o_custkey) || ' Main St #7, Surfside, FL, 33154' AS address_key, (100 + o_custkey) || ' Main St Unit 7|33154' AS zip_key,
+          arg_min(CASE o_orderkey % 5 WHEN 0 THEN 'Condo' WHEN 1 THEN 'Condo' WHEN 4 THEN 'Townhouse' END, o_orderkey) FILTER (o_orderkey % 5 IN (0, 1, 4)) AS property_type,
+          arg_min((o_orderkey % 4)::DOUBLE, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS beds, 1::DOUBLE AS baths,
+          arg_min(CAST(600 + o_orderkey % 900 AS INTEGER), o_orderkey) FILTER (o_orderkey % 2 <> 0) AS sqft FROM orders GROUP BY o_custkey""",
     "rejection_histogram": f"""WITH {_JUDGED}, f AS (SELECT unnest(failures) AS failure FROM judged)
         SELECT split_part(failure, ':', 1) AS reason, count(*) AS n FROM f GROUP BY 1""",
     "top_rejections": f"""WITH {_JUDGED}, f AS (SELECT unnest(failures) AS failure FROM judged)
