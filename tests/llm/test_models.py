@@ -23,6 +23,16 @@ def test_op1_on_held_out_rows(spark):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_a_language_of_very_long_texts_is_learned(spark):
+    rows = [(i, "der und die das ist nicht ein " * 4, "de") for i in range(40)]
+    rows += [(100 + i, "le et la les une pas dans " * 5_000, "fr") for i in range(6)]
+    docs = spark.createDataFrame([*rows, (200, "12 34", "xx"), (201, None, "yy")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "fr"]
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()} == {
+        **{r[0]: r[2] for r in rows}, 200: "und", 201: "und"}
+
+
 def test_language_edges(spark):
     rows = [(1, "der die das und " * 30, "de", "x"), (2, "le la les et " * 30, "fr", "x"), (3, None, "fr", "x"), (4, "", None, "x"),
             (5, "12 %% 34", "de", "x"), (None, "und der", None, "x"), (7, "la " * 300_000, None, "x"), (7, "la les", None, None)]

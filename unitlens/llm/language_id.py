@@ -20,8 +20,8 @@ from unitlens.llm.sampling import per_label
 from unitlens.llm.storage import with_columns
 
 BINS, GRAMS, SCALE = 1 << 16, 3, 30.0
-#: Bounds of the training sample: rows of each language, languages (the most frequent), characters of a document.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 1_000, 200, 50_000
+#: Bounds of the training sample: rows of each language, languages (the most frequent). A row is its whole text's n-gram counts.
+SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 1_000, 200
 EPOCHS, RATE, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.02
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -62,6 +62,24 @@ def bins_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found]
 
 
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(doc_id, lang, bins, counts) of the rows (doc_id, text, lang) whose text has a letter."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            some = [i for i, t in enumerate(texts) if has_letter(t)]
+            found = [bins_of(texts[i]) for i in some]
+            at = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(2).take(at), pa.array([b.astype("<u2").tobytes() for b, _ in found], pa.binary()),
+                 pa.array([n.astype("<i8").tobytes() for _, n in found], pa.binary())], names=["doc_id", "lang", "bins", "counts"])
+
+    slim = rows.select("doc_id", "text", "lang")
+    kinds = dict(slim.dtypes)
+    return slim.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, bins binary, counts binary")
+
+
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts and, by bin, of texts that have it. Summed by Spark; ``BINS`` numbers come back."""
 
@@ -149,23 +167,23 @@ class Model:
 
 def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on the rows of ``train`` that have a language and a letter. Document frequencies cover all of them; weights
-    are fitted on the sample bounded by ``SAMPLE_PER_LANGUAGE``, ``MAX_LANGUAGES`` and ``SAMPLE_CHARS``, of which every
-    fifth document fits the temperature. Without such rows the model has no language."""
+    are fitted on the sample bounded by ``SAMPLE_PER_LANGUAGE`` and ``MAX_LANGUAGES``, of which every fifth document fits
+    the temperature. Tasks count the n-grams of whole texts, however long; texts do not come to the driver. Without such
+    rows the model has no language."""
     rows = with_columns(train, doc_id, text, lang).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     ).where("lang is not null and text is not null")
     _, some = per_label(rows, "lang", "doc_id", SAMPLE_PER_LANGUAGE, MAX_LANGUAGES)
-    sample = [(r.lang, r.text) for r in some.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id")
-              .limit(2 * SAMPLE_PER_LANGUAGE * MAX_LANGUAGES).collect() if has_letter(r.text)]
-    languages = sorted({x for x, _ in sample})
+    sample = gram_counts(some).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_PER_LANGUAGE * MAX_LANGUAGES).collect()
+    languages = sorted({r.lang for r in sample})
     if not languages:
         return Model([], np.zeros((0, 0), "f4"), np.zeros(0))
     total, df = document_frequencies(rows.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
     ready = []
-    for x, t in sample:
-        at, counts = bins_of(t)
-        ready.append((at, SCALE * counts / counts.sum() * idf[at], languages.index(x)))
+    for r in sample:
+        at, counts = np.frombuffer(r.bins, "<u2").astype("i8"), np.frombuffer(r.counts, "<i8")
+        ready.append((at, SCALE * counts / counts.sum() * idf[at], languages.index(r.lang)))
     weights = train_ftrl([r for i, r in enumerate(ready) if i % 5], len(languages))
     kept = [r for i, r in enumerate(ready) if not i % 5]
     logits = np.array([x @ weights[at] + weights[-1] for at, x, _ in kept])
