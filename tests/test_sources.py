@@ -235,3 +235,33 @@ def test_range_falls_back_to_all(spark):
     assert landed.ranged_or_all(df, F.col("id") > 2)[0].count() == 2
     all_rows, note = landed.ranged_or_all(df, F.col("id") > 20)
     assert all_rows.count() == 5 and note
+
+
+def test_hand_made_files_of_every_layout(spark, tmp_path):
+    files = {
+        "lines.json": '{"source": "a", "price": 1}\r\n\n not json\n7\n{"source": "b", "price": 2}',
+        "spread.json": ' \n{\n  "source": "c",\n  "price": 3,\n  "photos": [\n    "x"\n  ]\n}\n',
+        "array.json": '\t[{"source": "d"},\n {"source": "e"}]',
+        "one.json": '{"source": "f", "odd": {"k": 1}}',
+        "torn.json": '{"source": "g", \n{"source": "h"}\n',
+        "remark.json": '# by hand\n{"source": "i"}\n',
+        "empty.json": "", "blank.json": "\n \n",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body.encode())
+    rows = landed.read_canonical(spark, str(tmp_path)).collect()
+    assert sorted((r.source, r.price) for r in rows if r.price) == [("a", 1), ("b", 2), ("c", 3)]
+    assert sorted(r.source for r in rows) == ["a", "b", "c", "d", "e", "f", "h", "i"]
+    assert [r.photos for r in rows if r.source == "c"] == [["x"]]
+
+
+def test_a_long_file_of_lines_is_many_tasks(spark, tmp_path):
+    (tmp_path / "long.json").write_text("".join(f'{{"source": "s", "price": {i}}}\n' for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = landed.read_canonical(spark, str(tmp_path))
+        tasks = rows.select(F.spark_partition_id().alias("task"), "price").groupBy("task").agg(F.count("*").alias("n"), F.sum("price").alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(tasks) > 4 and sum(t.n for t in tasks) == 20_000 and sum(t.s for t in tasks) == sum(range(20_000))

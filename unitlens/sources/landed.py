@@ -235,15 +235,32 @@ def valuations_from_components(pages: DataFrame, address_key: str = "address_key
 
 # --- other scans --------------------------------------------------------------------------------------
 
+def one_document_files(lines: DataFrame) -> list[str]:
+    """Of files read by lines, those that hold one document over several lines or an array, told by the first line that is
+    not blank: it opens an array, or an object that it does not close. The names are metadata of the listing."""
+    begin = F.btrim("value", F.lit(" \t\r"))
+    opens = begin.startswith("[") | (begin.startswith("{") & ~begin.endswith("}"))
+    heads = lines.where(F.col("_metadata.file_block_start") == 0).where(begin != "")
+    first = heads.select(  # the first block of a file is read in order by one task
+        F.col("_metadata.file_path").alias("file"), opens.alias("opens"), F.monotonically_increasing_id().alias("at"))
+    kinds = first.groupBy("file").agg(F.min_by("opens", "at").alias("opens"))
+    return [r.file for r in kinds.where("opens").select("file").collect()]
+
+
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     """Hand-made sightings: one JSON document per file, an object or an array, or JSON lines; unknown members are dropped,
-    and so are lines that are no JSON object."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-    # the parser stops after the first document, so lines are told from one document by their first characters
-    lines = "filter(transform(split(value, '\\\\r?\\\\n'), x -> try_parse_json(x)), x -> x is not null)"
-    whole = vt.as_objects("try_parse_json(value)")
-    records = f"if(ltrim(value) like '[%' or size({lines}) = 0, {whole}, {lines})"
-    rows = files.select(F.explode(F.expr(records)).alias("item")).where("schema_of_variant(item) like 'OBJECT%'")
+    and so are lines that are no JSON object. A file of lines is split like any text, whatever its size; only a file
+    that is one document is one cell. One that cannot be read as a document is read by its lines."""
+    def scan(whole: bool) -> DataFrame:
+        return spark.read.format("text").option("wholetext", whole).option("recursiveFileLookup", True).load(path)
+
+    files = one_document_files(scan(False))
+    listed = F.col("_metadata.file_path").isin(files)  # names prune the listing: no file is read both ways
+    lines = scan(False).where(~listed).select(F.expr("try_parse_json(value)").alias("item"))
+    by_line = "filter(transform(split(value, '\\\\r?\\\\n'), x -> try_parse_json(x)), x -> x is not null)"
+    records = f"coalesce({vt.as_objects('try_parse_json(value)')}, {by_line})"
+    documents = scan(True).where(listed).select(F.explode(F.expr(records)).alias("item"))
+    rows = lines.unionByName(documents).where("schema_of_variant(item) like 'OBJECT%'")
     return rows.select(F.from_json(F.to_json("item"), SIGHTING_SCHEMA).alias("r")).select("r.*")
 
 
