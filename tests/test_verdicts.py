@@ -8,11 +8,11 @@ from unitlens.operators import derive, merge, verdicts
 from unitlens.schema import SIGHTING_FIELDS, SIGHTING_SCHEMA
 
 BASE = dict(
-    source="test", source_id="t1", url="https://example.com/listing/1",
-    address="9705 Collins Ave #1502N, Bal Harbour, FL 33154", beds=2.0, baths=2.5, sqft=1450, year_built=2018,
-    price=9500, latitude=25.8890, longitude=-80.1233, property_type="Condo", title="Oceanfront 2BR",
-    description="Annual lease, 6-12 months. Valet parking, concierge, oceanfront pool, spa and fitness center.",
-    photos=["https://example.com/photo.jpg"], amenities=[],
+    source="hand", source_id="h806", url="https://listings.invalid/806",
+    address="421 Seagrape Blvd #806E, Bal Harbour, FL 33154", beds=3.0, baths=2.0, sqft=1400, year_built=2012,
+    price=8400, latitude=25.8905, longitude=-80.1226, property_type="Condo", title="Corner home on the oceanfront",
+    description="Let for 8-12 months. A doorman, valet, a lap pool and a sauna.",
+    photos=["https://listings.invalid/806.jpg"], amenities=[],
 )
 
 
@@ -26,7 +26,7 @@ def judged(spark, *overrides, criteria=None):
     return verdicts.evaluate(df, criteria).orderBy("ingest_seq").collect()
 
 
-GOOD = "Valet, concierge, pool, spa."
+GOOD = "The house has a gym, a doorman, a pool and valet."
 TABLE = [
     # overrides, passed, start of the failure (or part of a warning)
     ({}, True, None),
@@ -34,37 +34,37 @@ TABLE = [
     ({"price": 5000}, True, None), ({"price": 12000}, True, None), ({"price": None}, False, "price: no rent published"),
     ({"beds": 1.0}, False, "size: 1 beds < 2 required"), ({"baths": 1.5}, False, "size: 1.5 baths < 2 required"),
     ({"sqft": 1199}, False, "size: 1,199 sqft < 1,200 required"), ({"sqft": None}, True, "size: square footage unverified"),
-    ({"address": "1900 Sunset Harbour Dr #2210, Miami Beach, FL 33139", "latitude": 25.7930, "longitude": -80.1430},
-     False, "location: 1.05 mi from ocean (max 0.6)"),
-    ({"address": "1300 Brickell Bay Dr #2201, Miami, FL 33131", "city": "Miami", "latitude": 25.76, "longitude": -80.193},
+    ({"address": "75 Mangrove Rd #2203, Miami Beach, FL 33139", "latitude": 25.7900, "longitude": -80.1450},
+     False, "location: 1."),
+    ({"address": "615 SW Cedar St #5, Miami, FL 33130", "city": "Miami", "latitude": 25.77, "longitude": -80.2},
      False, "location: city 'Miami' is not a monitored municipality"),
-    ({"latitude": 25.76, "longitude": -80.193}, False, "location: coordinates fall outside"),
-    ({"address": "20155 NE 38th Ct #1501, Aventura, GA 33180", "state": "GA"}, False, "location: state GA is outside FL"),
-    ({"address": "5959 Collins Ave #1904, Miami, FL 33140", "city": "Miami", "latitude": 25.8330, "longitude": -80.1210},
+    ({"latitude": 25.77, "longitude": -80.2}, False, "location: coordinates fall outside"),
+    ({"address": "9 Dogwood Ct #2, Aventura, GA 33180", "state": "GA"}, False, "location: state GA is outside FL"),
+    ({"address": "12 Coral Way #31, Miami, FL 33140", "city": "Miami", "latitude": 25.8385, "longitude": -80.1205},
      True, "location: city 'Miami' not whitelisted but ZIP 33140 is"),
     ({"latitude": None, "longitude": None}, True, "location: ocean distance unverified"),
-    ({"description": f"Seasonal rental available now. {GOOD}"}, False, "lease_terms: excluded keyword(s) seasonal"),
-    ({"description": f"Short term welcome. {GOOD}"}, False, "lease_terms: excluded keyword(s) short term, short-term"),
-    ({"description": f"Airbnb-ready unit. {GOOD}"}, False, "lease_terms: excluded keyword(s) air bnb, airbnb"),
-    ({"description": f"Daily and weekly rates. {GOOD}"}, False, "lease_terms: excluded keyword(s) daily, weekly"),
-    ({"description": f"24 month minimum lease. {GOOD}"}, False, "lease_terms: requires at least 24 months"),
-    ({"description": f"up to 3 months. {GOOD}"}, False, "lease_terms: caps out at 3 months"),
-    ({"description": f"up to 18 months. {GOOD}"}, True, "lease_terms: advertised up to 18 months"),
-    ({"description": "NO short term rentals - annual lease only. Valet, concierge, oceanfront pool, spa."}, True,
+    ({"description": f"A seasonal let. {GOOD}"}, False, "lease_terms: excluded keyword(s) seasonal"),
+    ({"description": f"Stay short term if you like. {GOOD}"}, False, "lease_terms: excluded keyword(s) short term, short-term"),
+    ({"description": f"Guests of Airbnb come here. {GOOD}"}, False, "lease_terms: excluded keyword(s) air bnb, airbnb"),
+    ({"description": f"Paid weekly, or daily. {GOOD}"}, False, "lease_terms: excluded keyword(s) daily, weekly"),
+    ({"description": f"We ask for a 24 month minimum. {GOOD}"}, False, "lease_terms: requires at least 24 months"),
+    ({"description": f"To let for up to 3 months. {GOOD}"}, False, "lease_terms: caps out at 3 months"),
+    ({"description": f"To let for up to 18 months. {GOOD}"}, True, "lease_terms: advertised up to 18 months"),
+    ({"description": f"No short term stays; an annual lease is asked for. {GOOD}"}, True,
      "lease_terms: 'short term' present but negated"),
-    ({"description": "Valet, concierge, oceanfront pool, spa, gym."}, True, "lease_terms: not stated"),
-    ({"description": "An annual home. Valet, concierge, oceanfront pool, spa, gym."}, True, "lease_terms: term inferred from 'annual'"),
+    ({"description": GOOD}, True, "lease_terms: not stated"),
+    ({"description": f"Our annual offer. {GOOD}"}, True, "lease_terms: term inferred from 'annual'"),
     ({"property_type": "Single Family"}, False, "property_type: 'Single Family' is not a condo"),
     ({"property_type": "TOWNHOUSE"}, False, "property_type: 'TOWNHOUSE' is not a condo"),
     ({"property_type": "Boat"}, False, "property_type: 'Boat' is not an accepted type"),
     ({"property_type": "CONDOMINIUM"}, True, None), ({"property_type": "Apartment"}, True, None),
     ({"property_type": None}, True, "property_type: not stated"),
-    ({"property_type": None, "title": "Oceanfront condo"}, True, "property_type: inferred"),
-    ({"description": "Annual lease. Parking included.", "title": "Oceanfront 2BR"}, False, "building: only 1 luxury"),
+    ({"property_type": None, "title": "A condo on the oceanfront"}, True, "property_type: inferred"),
+    ({"description": "Annual lease and one garage space."}, False, "building: only 1 luxury"),
     ({"year_built": 1972}, False, "building: built 1972 < 2005 and no renovation stated"),
-    ({"year_built": 1972, "description": "Fully renovated 2022. Annual lease. Valet, concierge, oceanfront pool, spa."},
+    ({"year_built": 1972, "description": f"Renovated throughout, annual lease. {GOOD}"},
      True, "building: built 1972 but described as renovated"),
-    ({"title": "City-view residence", "description": "Annual lease. City and garden views. Valet, concierge, pool, spa."},
+    ({"title": "Home above the park", "description": f"Annual lease, looks west over the park. {GOOD}"},
      False, "building: missing required amenity/amenities ocean view"),
     ({"title": None, "description": None, "amenities": []}, True, "building: source published no description -- ocean view unverified"),
 ]
@@ -82,7 +82,7 @@ def test_constraints(spark):
 @pytest.mark.parametrize("change,override,text", [
     (dict(require_known_sqft=True), {"sqft": None}, "size: square footage unknown"),
     (dict(require_coordinates=True), {"latitude": None}, "location: no coordinates"),
-    (dict(require_explicit_lease_term=True), {"description": "Valet, concierge, oceanfront pool, spa, gym."}, "lease_terms: no lease term"),
+    (dict(require_explicit_lease_term=True), {"description": GOOD}, "lease_terms: no lease term"),
     (dict(building=BuildingCriteria(require_amenity_evidence=True)), {"title": None, "description": None}, "building: missing"),
 ])
 def test_strict_switches(spark, change, override, text):
@@ -93,20 +93,20 @@ def test_strict_switches(spark, change, override, text):
 def test_ocean_vocabulary(spark):
     phrases = ["ocean view", "ocean views", "oceanfront", "direct ocean access", "sea views", "panoramic ocean vistas",
                "unobstructed ocean", "beach view", "ocean facing"]
-    rows = judged(spark, *[{"description": f"Annual lease. {p} throughout. Valet, concierge, pool, spa, gym."} for p in phrases])
+    rows = judged(spark, *[{"description": f"Annual lease; {p} from each room. {GOOD}"} for p in phrases])
     assert all(r["passed"] and "ocean_view" in r["amenity_matches"] for r in rows)
 
 
 def test_scores(spark):
     near, far, cheap, dear, failing = judged(
-        spark, {"latitude": 25.8776, "longitude": -80.1205}, {"latitude": 25.8776, "longitude": -80.1280},
+        spark, {"latitude": 25.8385, "longitude": -80.1202}, {"latitude": 25.8385, "longitude": -80.1270},
         {"price": 5500}, {"price": 11800}, {"price": 1})
     assert near["score"] > far["score"] and cheap["score"] > dear["score"] and failing["score"] == 0.0
 
 
 def test_prefilter_is_lenient(spark):
     df = derive.derive(sightings(spark, {}, {"price": None, "beds": None, "sqft": None, "latitude": None}, {"beds": 1.0},
-                                 {"price": 20000}, {"latitude": 25.76, "longitude": -80.193}))
+                                 {"price": 20000}, {"latitude": 25.77, "longitude": -80.2}))
     kept = [r[0] for r in df.where(verdicts.passes_prefilter(SearchCriteria())).select("ingest_seq").collect()]
     assert sorted(kept) == [0, 1]
 
@@ -126,17 +126,17 @@ def test_criteria_are_checked():
 
 def test_derived_values(spark):
     r = judged(spark, {})[0]
-    assert (r["city"], r["zip_code"], r["unit"], r["lease_min_months"]) == ("Bal Harbour", "33154", "1502n", 6)
+    assert (r["city"], r["zip_code"], r["unit"], r["lease_min_months"]) == ("Bal Harbour", "33154", "806e", 8)
     df = derive.derive(sightings(spark, {}))
     a, b = df.select(derive.price_per_sqft(), derive.summary_line()).first()
-    assert a == 6.55
-    assert b == "9705 Collins Ave #1502N, Bal Harbour, FL 33154 | $9,500/mo | 2bd/2.5ba | 1,450 sqft | 6-12 months"
+    assert a == 6.0
+    assert b == "421 Seagrape Blvd #806E, Bal Harbour, FL 33154 | $8,400/mo | 3bd/2ba | 1,400 sqft | 8-12 months"
 
 
 def test_prose_flag(spark):
     rows = judged(spark, {"title": None, "description": None}, {"description": None},
-                  {"title": None, "description": "Annual lease with direct ocean views and a spa"},
-                  {"title": "Oceanfront 2BR at Bal Harbour with valet parking", "description": None})
+                  {"title": None, "description": "A home for a year, above the sea, with a sauna"},
+                  {"title": "Three rooms over the beach at Surfside, with a doorman", "description": None})
     assert [r["has_prose"] for r in rows] == [False, False, True, True]
 
 
@@ -144,16 +144,16 @@ def test_prose_flag(spark):
 def test_merge_fills_and_unions(spark, parts):
     df = sightings(
         spark,
-        {"source": "z", "sqft": 1450, "year_built": None, "photos": ["a", "b"], "amenities": ["Pool"], "broker": None},
-        {"source": "r", "address": "9705 Collins Avenue APT 1502-N, Bal Harbour, FL 33154-2932", "sqft": None, "beds": 9.0,
-         "price": 9200, "photos": ["b", "c"], "amenities": ["pool", "Spa"], "broker": "B"},
+        {"source": "z", "sqft": 1400, "year_built": None, "photos": ["a", "b"], "amenities": ["Pool"], "broker": None},
+        {"source": "r", "address": "421 Seagrape Boulevard APT 806-E, Bal Harbour, FL 33154-1107", "sqft": None, "beds": 9.0,
+         "price": 8150, "photos": ["b", "c"], "amenities": ["pool", "Spa"], "broker": "B"},
         {"source": "q", "address": "1 Other St, Surfside, FL", "price": None, "photos": None, "amenities": None},
     ).repartition(parts)
     keyed = derive.derive_identity(df)
     rows = merge.merge_units(keyed).orderBy("ingest_seq").collect()
     assert len(rows) == 2
     u = rows[0]
-    assert (u["source"], u["sqft"], u["year_built"], u["price"], u["beds"], u["broker"]) == ("z", 1450, 2018, 9200, 2.0, "B")
+    assert (u["source"], u["sqft"], u["year_built"], u["price"], u["beds"], u["broker"]) == ("z", 1400, 2012, 8150, 3.0, "B")
     assert u["photos"] == ["a", "b", "c"] and u["amenities"] == ["Pool", "Spa"]
     assert u["sources"] == ["r", "z"] and u["n_sightings"] == 2 and rows[1]["photos"] is None
     assert merge.contributing_sightings(keyed).select("source").collect()[0][0] == "r"
