@@ -55,18 +55,18 @@ def test_as_of_cooldown_equals_brute_force(spark):
 
 
 def test_material_drops(spark):
-    df = spark.createDataFrame([(9500, 8800), (9500, 9450), (9500, 10200), (50000, 49900), (None, 1)], "old_price int, new_price int")
+    df = spark.createDataFrame([(8400, 7700), (8400, 8360), (8400, 9000), (40000, 39900), (None, 5)], "old_price int, new_price int")
     assert [r[0] for r in df.select(alerts.is_material_drop(AlertCriteria())).collect()] == [True, False, False, False, False]
 
 
 def test_register_match_order(spark):
     register = spark.createDataFrame([
-        ("F1", "9705 COLLINS AVE", "1503N", 900, 3), ("F2", "9705 COLLINS AVE", "1502N", 1180, 2), ("F3", "9705 COLLINS AVE PH9", None, 1000, 1)],
+        ("F1", "421 SEAGRAPE BLVD", "807E", 910, 3), ("F2", "421 SEAGRAPE BLVD", "806E", 1240, 2), ("F3", "421 SEAGRAPE BLVD PH9", None, 1020, 1)],
         "folio string, site_address string, unit string, sqft int, reg_seq int").withColumns({
-            "street_key": F.lit("9705 collins ave"), "year_built": F.lit(2016), "beds": F.lit(2.0), "baths": F.lit(None).cast("double"),
+            "street_key": F.lit("421 seagrape blvd"), "year_built": F.lit(2016), "beds": F.lit(2.0), "baths": F.lit(None).cast("double"),
             "use_code": F.lit(None).cast("string"), "source": F.lit("r")})
-    units = spark.createDataFrame([(1, "1502n"), (2, "ph9"), (3, "77"), (4, None)], "i int, unit string").withColumn(
-        "street_key", F.when(F.col("i") < 4, "9705 collins ave"))
+    units = spark.createDataFrame([(1, "806e"), (2, "ph9"), (3, "77"), (4, None)], "i int, unit string").withColumn(
+        "street_key", F.when(F.col("i") < 4, "421 seagrape blvd"))
     got = enrich.match_register(units, register).orderBy("i").select("reg.folio", "reg_match").collect()
     assert [tuple(r) for r in got] == [("F2", "unit"), ("F3", "address"), ("F3", "street"), (None, None)]
 
@@ -107,10 +107,10 @@ def test_staleness_matrix(spark):
     assert reason(("a", 0, True, True)) == (True, "no primary source was configured")
 
 
-BASE = dict(source="z", source_id="z1", url="https://z/1", address="9705 Collins Ave #1502N, Bal Harbour, FL 33154", beds=2.0, baths=2.5,
-            sqft=1450, year_built=2018, price=9500, latitude=25.8890, longitude=-80.1233, property_type="Condo", title="Oceanfront 2BR",
-            description="Annual lease, 6-12 months. Valet parking, concierge, oceanfront pool, spa and fitness center.",
-            photos=["a.jpg"], amenities=[], fetched_at=START)
+BASE = dict(source="z", source_id="z1", url="https://z/1", address="421 Seagrape Blvd #806E, Bal Harbour, FL 33154", beds=3.0, baths=2.0,
+            sqft=1400, year_built=2012, price=8400, latitude=25.8905, longitude=-80.1226, property_type="Condo",
+            title="Corner home on the oceanfront", description="Let for 8-12 months. A doorman, valet, a lap pool and a sauna.",
+            photos=["806.jpg"], amenities=[], fetched_at=START)
 
 
 def sightings(spark, *overrides):
@@ -120,23 +120,23 @@ def sightings(spark, *overrides):
 
 def test_two_passes_over_a_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    other = {"address": "9705 Collins Ave #1802N, Bal Harbour, FL 33154", "source_id": "z2"}
+    other = {"address": "421 Seagrape Blvd #1106E, Bal Harbour, FL 33154", "source_id": "z2"}
     first = run_pass(spark, store, sightings(spark, {}, other), START, 0, PassSettings())
     assert first.select("fetched", "deduped", "matched", "new_listings", "alerts_sent").first() == (2, 2, 2, 2, 2)
     assert run_pass(spark, store, sightings(spark, {}), START, 0) is None           # committed batches are not run again
-    thin = {"source": "r", "source_id": "r9", "price": 8800, "sqft": None, "year_built": None, "photos": [], "description": None,
-            "address": "9705 Collins Avenue APT 1502-N, Bal Harbour, FL 33154-2932", "title": "Oceanfront 2BR"}
+    thin = {"source": "r", "source_id": "r9", "price": 7700, "sqft": None, "year_built": None, "photos": [], "description": None,
+            "address": "421 Seagrape Boulevard APT 806-E, Bal Harbour, FL 33154-1107", "title": BASE["title"]}
     second = run_pass(spark, store, sightings(spark, thin), START + timedelta(days=4), 1, PassSettings())
     assert second.select("new_listings", "price_drops", "alerts_sent", "marked_inactive").first() == (0, 1, 1, 1)
-    unit = store.state("units").where("unit = '1502n'").first()
-    assert (unit["sqft"], unit["year_built"], unit["photos"], unit["times_seen"], unit["price"]) == (1450, 2018, ["a.jpg"], 2, 8800)
+    unit = store.state("units").where("unit = '806e'").first()
+    assert (unit["sqft"], unit["year_built"], unit["photos"], unit["times_seen"], unit["price"]) == (1400, 2012, ["806.jpg"], 2, 7700)
     assert unit["description"] == BASE["description"]
     history = store.log("price_history").where("old_price is not null").collect()
-    assert [(h["old_price"], h["new_price"], h["delta"]) for h in history] == [(9500, 8800, -700)]
+    assert [(h["old_price"], h["new_price"], h["delta"]) for h in history] == [(8400, 7700, -700)]
     assert stats.multi_source_units(store.state("sightings")).count() == 1
     message = alert_payloads(store, 1).first()["events"][0]
-    assert message["headline"].startswith("Price drop: 9705 Collins Ave #1502N")
-    assert message["subheadline"] == "$9,500 → $8,800 (−$700, −7.4%)"
+    assert message["headline"].startswith("Price drop: 421 Seagrape Blvd #806E")
+    assert message["subheadline"] == "$8,400 → $7,700 (−$700, −8.3%)"
     matches = stats.top_matches(store.state("units"), 10)
     from unitlens.functions.address import standardize_addresses
     write_export(standardize_addresses(matches), str(tmp_path / "m.csv"))
