@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from unitlens.criteria import FallbackCriteria
 from unitlens.operators import derive, enrich, merge, stats
-from unitlens.operators.sinks import shared_folder
+from unitlens.operators.sinks import shared_folder, written
 from unitlens.plans import driver_views as v
 from unitlens.schema import conform
 from unitlens.sources import field_maps as fm, registry
@@ -164,7 +164,8 @@ def verify_with_parcels(spark: SparkSession, d: str) -> DataFrame:
         F.expr("concat(l_suppkey % 40, ' Ocean Dr #', l_suppkey % 7, ', Surfside, FL 33154')").alias("address"),
         F.expr("if(l_linenumber % 2 = 0, 5000, null)").alias("sqft"))
     none = v.register(spark, d).where("false")
-    rows = enrich.verify_units(derive.derive_identity(conform(units)), none, v.parcels(spark, d))
+    identified = written(derive.derive_identity(conform(units)), "identified")
+    rows = enrich.verify_units(identified, none, v.parcels(spark, d))
     return rows.select("source_id", "sqft", "county_folio", "county_sqft", "reg_match", "sqft_conflict", "sqft_filled")
 
 
