@@ -195,11 +195,16 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
 
-def _grams(model: Model, words: list[bytes], ids: _Ids, levels: int) -> list[np.ndarray]:
-    """For each level k up to ``levels``: the place of the k-gram that begins at each token, -1 for none."""
-    first = ids.of(words)
-    inside = np.fromiter((w != START for w in words), bool, len(words))
-    places = [first]
+def _inside(words: list[bytes], first: np.ndarray, ids: _Ids) -> np.ndarray:
+    """Which tokens are no start marks. The mark has an id of its own wherever a text was counted."""
+    mark = ids.get(START, -1)
+    return first != mark if mark >= 0 else np.fromiter((w != START for w in words), bool, len(words))
+
+
+def _grams(model: Model, first: np.ndarray, inside: np.ndarray, levels: int) -> tuple[list[np.ndarray], list[tuple]]:
+    """For each level k up to ``levels``: the place of the k-gram that begins at each token, -1 for none; and, from level 2
+    on, the tokens looked up, the ascending places of their different k-grams, -1 between them, and which of these each has."""
+    places, looked_up = [first], []
     for k in range(2, levels + 1):
         shorter = places[-1]
         found = np.full(len(first), -1, "i8")
@@ -208,9 +213,11 @@ def _grams(model: Model, words: list[bytes], ids: _Ids, levels: int) -> list[np.
         if k > 2:
             ok &= places[-1][1:len(last) + 1] >= 0
         keys, back = _unique((shorter[:len(last)][ok] << model.shift) | last[ok])
-        found[:len(last)][ok] = model.levels[k - 1].find(keys)[back]
+        held = model.levels[k - 1].find(keys)
+        found[:len(last)][ok] = held[back]
         places.append(found)
-    return places
+        looked_up.append((ok, held, back))
+    return places, looked_up
 
 
 def _words_counted(parts: int):
@@ -251,9 +258,10 @@ def _grams_counted(model: Model, k: int, parts: int):
         held, suffixes, size = [], [], 0
         for batch in batches:
             for words, _, old in _slabs(_texts(batch.column(0)), k - 1):
-                places = _grams(model, words, ids, k - 1)
-                short, last = places[-1], places[0][k - 1:]
-                inside = np.fromiter((w != START for w in words), bool, len(words))[k - 1:]
+                tokens = ids.of(words)
+                inside = _inside(words, tokens, ids)
+                places, _ = _grams(model, tokens, inside, k - 1)
+                short, last, inside = places[-1], tokens[k - 1:], inside[k - 1:]
                 n = len(last)
                 ok = (short[:n] >= 0) & (last >= 0) & inside & (np.arange(n) + k - 1 >= old)
                 if k > 2:
@@ -497,27 +505,28 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.vocabulary, self.ids = model, model.levels[0], _Ids(model.levels[0])
 
-    def words(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, P_1) of each id."""
-        ids, back = _unique(places)
+    def words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, P_1) of ascending ids, unknown ones first."""
         known = ids[np.searchsorted(ids, 0):]
         counts, chance = np.zeros(len(ids), "i8"), np.full(len(ids), self.model.free / (self.model.distinct + 1))
         if len(known):
             counts[-len(known):] = self.vocabulary.take("count", known)
             ends = self.vocabulary.take("adjusted", known)
             chance[-len(known):] += np.maximum(ends - self.vocabulary.discounts[np.minimum(ends, 3)], 0) / self.model.levels[1].n
-        return counts[back], chance[back]
+        return counts, chance
 
     def texts(self, texts: list) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
         model = self.model
         n, known, base, score = (np.zeros(len(texts)) for _ in range(4))
         for words, owners, old in _slabs(texts, len(model.levels) - 1):
-            places = _grams(model, words, self.ids, len(model.levels))
-            counts, chance = self.words(places[0])
-            new = np.fromiter((w != START for w in words), bool, len(words))
+            tokens = self.ids.of(words)
+            new = _inside(words, tokens, self.ids)
+            places, looked_up = _grams(model, tokens, new, len(model.levels))
+            ids, back = _unique(tokens)
+            counts, chance = (x[back] for x in self.words(ids))
             for k in range(2, len(model.levels) + 1):
-                chance = self.longer(places, new, chance, k)
+                chance = self.longer(places, new, chance, k, looked_up[k - 2], (ids, back) if k == 2 else None)
             new[:old] = False
             owner = np.repeat([i for i, _ in owners], [m for _, m in owners])[new]
             for out, values in ((n, None), (known, counts[new] > 0), (score, np.log10(chance[new])),
@@ -525,25 +534,29 @@ class Scorer:
                 out += np.bincount(owner, values, len(texts))
         return n.astype("i8"), known.astype("i8"), base, score
 
-    def longer(self, places: list, inside: np.ndarray, chance: np.ndarray, k: int) -> np.ndarray:
-        """P_k of each token by P_{k-1}."""
+    def longer(self, places: list, inside: np.ndarray, chance: np.ndarray, k: int, looked_up: tuple, contexts: tuple | None) -> np.ndarray:
+        """P_k of each token by P_{k-1}. ``looked_up`` is what ``_grams`` says of level k, ``contexts`` the different places of the
+        level below and which of them each token has, if that is known."""
         level, below = self.model.levels[k - 1], self.model.levels[k - 2]
         out = chance.copy()
         size = len(chance) - k + 1
         if size <= 0 or not level.parts:
             return out
-        context, gram = places[k - 2][:size], places[k - 1][:size]
-        seen = (context >= 0) & inside[k - 1:]
+        seen = (places[k - 2][:size] >= 0) & inside[k - 1:]
         if not seen.any():
             return out
-        ids, back = _unique(context[seen])
-        total, free = below.take("context", ids)[back], below.take("free", ids)[back]
-        grams, again = _unique(gram[seen])
-        count = np.zeros(len(grams), "i8")
-        real = grams[np.searchsorted(grams, 0):]
-        if len(real):
-            count[-len(real):] = level.take("count" if k == len(self.model.levels) else "adjusted", real)
-        count = count[again]
+        ids, back = contexts or _unique(places[k - 2])
+        back, real = back[:size][seen], ids >= 0
+        total, free = np.zeros(len(ids), "i8"), np.zeros(len(ids))
+        total[real], free[real] = below.take("context", ids[real]), below.take("free", ids[real])
+        total, free = total[back], free[back]
+        ok, held, again = looked_up
+        counts, real = np.zeros(len(held), "i8"), held >= 0
+        if real.any():
+            counts[real] = level.take("count" if k == len(self.model.levels) else "adjusted", held[real])
+        count = np.zeros(size, "i8")
+        count[ok] = counts[again]
+        count = count[seen]
         own = np.maximum(count - level.discounts[np.minimum(count, 3)], 0) / np.maximum(total, 1)
         at = np.flatnonzero(seen) + k - 1
         out[at] = np.where(total > 0, own + free * chance[at], chance[at])
