@@ -46,12 +46,19 @@ ORDER = 2
 START, END = b" s", b" e"  # no words: they hold a space
 _MARKS = {START: 0, END: 1}
 FLUSH_WORDS, FLUSH_GRAMS, KEEP_WORDS = 400_000, 2_000_000, 400_000
+FLUSH_TOKENS = 1_000_000
 SLAB_BYTES = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-def _hash(word: bytes) -> int:
-    return _MARKS.get(word, max(xxhash.xxh3_64_intdigest(word) >> 1, 2))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Of different words."""
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) >> np.uint64(1)
+    found = np.maximum(found, np.uint64(len(_MARKS))).astype("i8")
+    for mark, place in _MARKS.items():
+        if mark in words:
+            found[words.index(mark)] = place
+    return found
 
 
 def _pieces(text: bytes):
@@ -172,6 +179,13 @@ class Model:
         return max(self.levels[0].n, 1).bit_length()
 
 
+def _distinct(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a slab, and which of them each one is: found by Arrow's hash table, so what is kept for each
+    word is looked up once a slab and not once a token."""
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
+
 class _Ids(dict):
     """Ids of words, for as long as a worker needs them; -1 for unknown ones."""
 
@@ -179,16 +193,27 @@ class _Ids(dict):
         self.vocabulary = vocabulary
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        ids, back = self.coded(words)
+        return ids[back]
+
+    def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the different words, and which of them each word has."""
         if len(self) > KEEP_WORDS:
             self.clear()
-        new = list(set(words).difference(self))
-        if new:
-            hashes = np.fromiter(map(_hash, new), "i8", len(new))
+        distinct, back = _distinct(words)
+        ids = list(map(self.get, distinct))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        if missing:
+            new = [distinct[i] for i in missing]
+            hashes = _hashes(new)
             order = np.argsort(hashes)
             found = np.empty(len(new), "i8")
             found[order] = self.vocabulary.find(hashes[order])
-            self.update(zip(new, found.tolist(), strict=True))
-        return np.fromiter(map(self.__getitem__, words), "i8", len(words))
+            found = found.tolist()
+            self.update(zip(new, found, strict=True))
+            for i, known in zip(missing, found, strict=True):
+                ids[i] = known
+        return np.array(ids, "i8"), back
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,18 +247,29 @@ def _grams(model: Model, first: np.ndarray, inside: np.ndarray, levels: int) ->
 
 def _words_counted(parts: int):
     def rows(counts: Counter):
-        keys = np.fromiter(map(_hash, counts), "i8", len(counts))
+        keys = _hashes(list(counts))
         return pa.RecordBatch.from_pydict({"part": ((keys >> 32) * parts >> 31).astype("i4"), "key": keys,
                                            "count": np.fromiter(counts.values(), "i8", len(counts))})
 
     def run(batches):
-        counts: Counter = Counter()
+        counts, held = Counter(), []
+
+        def add():
+            distinct, which = _distinct(held)
+            for word, n in zip(distinct, np.bincount(which, minlength=len(distinct)).tolist(), strict=True):
+                counts[word] = counts.get(word, 0) + n
+            held.clear()
+
         for batch in batches:
             for words, _, old in _slabs(_texts(batch.column(0)), 1):
-                counts.update(words[old:])
+                held += words[old:]
+                if len(held) > FLUSH_TOKENS:
+                    add()
                 if len(counts) > FLUSH_WORDS:
                     yield rows(counts)
                     counts = Counter()
+        if held:
+            add()
         if counts:
             yield rows(counts)
 
@@ -245,13 +281,18 @@ def _grams_counted(model: Model, k: int, parts: int):
     below, vocabulary = model.levels[k - 2], model.levels[0]
 
     def rows(held: list[np.ndarray], suffixes: list[np.ndarray]):
-        keys, first, counts = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+        if suffixes:
+            keys, first, counts = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            suffix = np.concatenate(suffixes)[first]
+        else:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            suffix = keys & ((1 << model.shift) - 1)
         context, word = keys >> model.shift, keys & ((1 << model.shift) - 1)
         words, back = _unique(word)
         share = (vocabulary.take("sum", words, True) / vocabulary.total)[back]
         at = below.take("sum", context, True) + below.take("count", context) * share
         part = np.minimum((at * (parts / below.total)).astype("i4"), parts - 1)
-        return pa.RecordBatch.from_pydict({"part": part, "key": keys, "suffix": np.concatenate(suffixes)[first], "count": counts})
+        return pa.RecordBatch.from_pydict({"part": part, "key": keys, "suffix": suffix, "count": counts})
 
     def run(batches):
         ids = _Ids(vocabulary)
@@ -267,7 +308,8 @@ def _grams_counted(model: Model, k: int, parts: int):
                 if k > 2:
                     ok &= short[1:n + 1] >= 0
                 held.append((short[:n][ok] << model.shift) | last[ok])
-                suffixes.append(short[1:n + 1][ok])
+                if k > 2:  # of a pair it is the last word
+                    suffixes.append(short[1:n + 1][ok])
                 size += len(held[-1])
                 if size > FLUSH_GRAMS:
                     yield rows(held, suffixes)
@@ -520,10 +562,12 @@ class Scorer:
         model = self.model
         n, known, base, score = (np.zeros(len(texts)) for _ in range(4))
         for words, owners, old in _slabs(texts, len(model.levels) - 1):
-            tokens = self.ids.of(words)
+            own, which = self.ids.coded(words)
+            tokens = own[which]
             new = _inside(words, tokens, self.ids)
             places, looked_up = _grams(model, tokens, new, len(model.levels))
-            ids, back = _unique(tokens)
+            ids, back = _unique(own)
+            back = back[which]
             counts, chance = (x[back] for x in self.words(ids))
             for k in range(2, len(model.levels) + 1):
                 chance = self.longer(places, new, chance, k, looked_up[k - 2], (ids, back) if k == 2 else None)
