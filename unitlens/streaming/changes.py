@@ -42,34 +42,58 @@ class UnitProcessor(StatefulProcessor):
         self.life = handle.getValueState("life", "price int, last_seen bigint, times_seen int")
         self.told = handle.getMapState("told", "kind string", "at bigint")
 
+    def _last(self, kind: str) -> int | None:
+        """When a kind was last told. The state is asked once for each kind a key has rows of, and told once what changed."""
+        if kind not in self.known:
+            self.known[kind] = self.told.getValue((kind,))[0] if self.told.containsKey((kind,)) else None
+        return self.known[kind]
+
+    def _keep(self) -> None:
+        for kind in self.changed:
+            self.told.updateValue((kind,), (self.known[kind],))
+
+    def _begin(self) -> None:
+        self.known, self.changed = {}, set()
+
     def _tell(self, kind: str, at: int) -> bool:
-        if self.told.containsKey((kind,)) and at - self.told.getValue((kind,))[0] < self.cooldown:
+        last = self._last(kind)
+        if last is not None and at - last < self.cooldown:
             return False
         if self.trusting:
-            self.told.updateValue((kind,), (at,))
+            self.known[kind] = at
+            self.changed.add(kind)
         return True
 
     def _sent(self, kind: str, at: int) -> None:
-        if not self.told.containsKey((kind,)) or at > self.told.getValue((kind,))[0]:
-            self.told.updateValue((kind,), (at,))
+        last = self._last(kind)
+        if last is None or at > last:
+            self.known[kind] = at
+            self.changed.add(kind)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._begin()
         for kind, at in zip(initialState["kind"].tolist(), initialState["at_us"].tolist(), strict=True):
             self._sent(kind, at)
+        self._keep()
 
     def _is_material(self, old: int, new: int) -> bool:
         return old - new >= self.min_dollars and (old - new) / old >= self.min_pct
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        life = self.life.get() if self.life.exists() else None
-        seen = pd.concat(rows).sort_values(["at_us", "kind"])  # at one instant sightings, of no kind, come before outcomes
+        life = before = self.life.get() if self.life.exists() else None
+        self._begin()
+        batches = list(rows)
+        seen = batches[0] if len(batches) == 1 else pd.concat(batches)
+        missing = seen["price"].isna().tolist()
+        given = list(zip(*(seen[c].tolist() for c in ("at_us", "kind", "price", "n", "ok")), missing, strict=True))
+        given.sort(key=lambda row: row[:2])  # at one instant sightings, of no kind, come before outcomes
         out = {c: [] for c in NAMES}
-        for at, kind, new, n, ok in zip(*(seen[c].astype("object").tolist() for c in ("at_us", "kind", "price", "n", "ok")), strict=True):
+        for at, kind, new, n, ok, unpriced in given:
             if kind:
                 if ok:
                     self._sent(kind, at)
                 continue
-            new = None if pd.isna(new) else int(new)
+            new = None if unpriced else int(new)
             old = life[0] if life else None
             event, alert = "unchanged", False
             if life is None:
@@ -80,11 +104,13 @@ class UnitProcessor(StatefulProcessor):
             life = (new if new is not None else old, at, (life[2] if life else 0) + n)
             for name, value in zip(NAMES, (key[0], at, event, old, new, life[2], alert), strict=True):
                 out[name].append(value)
+        self._keep()
         if not out["at_us"]:
             return
         self.life.update(life)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if before is not None:  # a unit that was never seen has no timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer((life[1] + self.inactive) // 1000)  # timers are in milliseconds
         yield _events(out)
 
