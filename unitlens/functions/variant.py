@@ -49,7 +49,7 @@ def _bound(value: str, then: str) -> str:
 def scalar_text(doc: str, path: str) -> str:
     """SQL for a scalar at ``path`` as text; objects, arrays and blanks count as not said."""
     text = _bound("trim(try_variant_get(v, '$', 'string'))", "if(v <> '', v, null)")
-    return _bound(dig(doc, path), f"if(schema_of_variant(v) rlike '^(OBJECT|ARRAY|VOID)', null, {text})")
+    return _bound(dig(doc, path), f"if(v is null or schema_of_variant(v) rlike '^(OBJECT|ARRAY|VOID)', null, {text})")
 
 
 def string_only(doc: str, path: str) -> str:
@@ -65,7 +65,7 @@ def first_parsed(doc: str, paths, from_text, from_number) -> Column:
     """First candidate that survives its parser; a failed parse falls through to the next path."""
     def parsed(v: Column) -> Column:
         kind = F.schema_of_variant(v)
-        return F.when(kind == "STRING", from_text(F.try_variant_get(v, "$", "string"))).when(
+        return F.when(v.isNull(), None).when(kind == "STRING", from_text(F.try_variant_get(v, "$", "string"))).when(
             kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"), from_number(F.try_variant_get(v, "$", "double")))
 
     cases = [bind(F.expr(dig(doc, p)), parsed) for p in paths]
