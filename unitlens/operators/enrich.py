@@ -13,6 +13,7 @@ from unitlens import fixed_values as fv
 from unitlens.criteria import EnrichmentCriteria
 from unitlens.functions import address as ad
 from unitlens.functions import text as tx
+from unitlens.operators.sinks import written
 
 _FACTS = ("folio", "site_address", "unit", "sqft", "year_built", "beds", "baths", "use_code", "source")
 
@@ -56,12 +57,13 @@ def match_register(units: DataFrame, register: DataFrame, street: str = "street_
         F.col("__street").alias("street_key"), F.col("__unit").alias("probe")).distinct()
     lengths = asked.select("street_key", F.length("probe").alias("n")).distinct()
     exact = words.where("u <> ''").select("street_key", F.col("u").alias("probe"), F.lit(0).alias("rank"), "reg_seq")
-    held = words.where("w <> ''").join(lengths, "street_key").select(
+    # rows of the register are many on few streets and small in their file: a size that is judged by the file would broadcast them
+    held = words.where("w <> ''").hint("merge").join(lengths, "street_key").select(
         "street_key", F.explode(_substrings(F.col("w"), F.col("n"))).alias("probe"), F.lit(1).alias("rank"), "reg_seq")
     best = exact.unionByName(held).join(asked, ["street_key", "probe"], "left_semi").groupBy("street_key", "probe").agg(
         F.min(F.struct("rank", "reg_seq")).alias("best")).select("street_key", "probe", "best.*")
     # rows of a street that repeat a reg_seq count as one, the least
-    by_unit = best.join(known.select("street_key", "reg_seq", record), ["street_key", "reg_seq"]).groupBy(
+    by_unit = best.join(known.select("street_key", "reg_seq", record).hint("merge"), ["street_key", "reg_seq"]).groupBy(
         F.col("street_key").alias("__s1"), F.col("probe").alias("__p1")).agg(F.min(F.struct("rank", "rec")).alias("hit"))
     by_street = known.groupBy(F.col("street_key").alias("__s2")).agg(F.min(record).alias("first"))
     u = u.join(by_unit, (F.col("__street") == F.col("__s1")) & (F.col("__unit") == F.col("__p1")), "left")
@@ -82,7 +84,7 @@ def street_candidates(streets: DataFrame, parcels: DataFrame, street: str = "str
     A contained line starts with a house number, so its first word ends a word of the address and its second word
     starts the next. Both sides are keyed by the last characters of the former and the first of the latter (the whole
     word where the line goes on behind it), and only rows with equal keys are compared. Exact: the key is implied by
-    containment.
+    containment. A parcel has many keys and its table is judged by what it is before them, so it must not be broadcast.
     """
     wanted = streets.select(F.upper(tx.title_case(F.col(street))).alias("line"), F.col(street).alias("street_key")).where(
         "street_key rlike '^[0-9]'").distinct()
@@ -91,7 +93,7 @@ def street_candidates(streets: DataFrame, parcels: DataFrame, street: str = "str
     wanted = wanted.withColumn("block", F.concat(
         F.when(F.size(words) > 2, F.lit("=")).otherwise(F.lit("~")), F.right(F.get(words, 0), F.lit(_NUMBER_TAIL)), F.lit(" "),
         F.when(F.size(words) > 2, second).otherwise(F.left(second, F.lit(_WORD_HEAD)))))
-    return parcel_keys(parcels).join(wanted, "block").where(F.contains("__addr", "line")).drop("block", "line", "__addr")
+    return parcel_keys(parcels).hint("merge").join(wanted, "block").where(F.contains("__addr", "line")).drop("block", "line", "__addr")
 
 
 def parcel_keys(parcels: DataFrame) -> DataFrame:
@@ -138,8 +140,9 @@ def verify_units(df: DataFrame, register: DataFrame, parcels: DataFrame | None =
         # asked once per street and unit, however often a unit was sighted; the keys exist only where the first lookup found nothing
         lost = F.when(F.col("reg").isNull() & F.col("street_key").isNotNull(), F.concat_ws("\0", "street_key", F.coalesce("unit", F.lit("\0"))))
         matched = matched.withColumn("__lost", lost)
-        rest = matched.where("__lost is not null").select("__lost", "street_key", "unit").distinct()
-        second = match_register(rest, street_candidates(rest, parcels)).select(
+        # both are read several times, and the plan would hold all that is behind them each time
+        rest = written(matched.where("__lost is not null").select("__lost", "street_key", "unit").distinct(), "lost-streets")
+        second = match_register(rest, written(street_candidates(rest, parcels), "parcel-candidates")).select(
             F.col("__lost").alias("__ask"), F.col("reg").alias("__reg2"), F.col("reg_match").alias("__match2"))
         matched = matched.withColumn("__lost", _spread_nulls(F.col("__lost"), "dedupe_key")).join(
             second, F.col("__lost") == F.col("__ask"), "left").withColumns({
